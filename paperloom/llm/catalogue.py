@@ -1,15 +1,20 @@
 """Queries of the numbered operators."""
 
-from paperloom.llm import length_histogram, packing, token_files
+from paperloom.llm import decontaminate, length_histogram, packing, substrings, token_files
 
 
 def queries() -> dict:
     return {
         "op1_token_files": token_files.query,
+        "op3_substring_dedup": substrings.query,
+        "op4_decontaminate": decontaminate.query,
         "op8_packing": packing.query,
         "op9_length_histogram": length_histogram.query,
     }
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {
+        "op3_substring_dedup": substrings.SQL,
+        "op4_decontaminate": decontaminate.SQL,
+    }
