@@ -5,19 +5,30 @@ import re
 
 import numpy as np
 
-KEPT = 600_000  # remembered pieces in a worker; the rest are encoded in each batch that has them
+KEPT = 700_000  # remembered pieces in a worker; the rest are encoded in each batch that has them
 LONGEST = 40
 
 # A text may be cut before a space unless white space stands on both sides of it, for both vocabularies: a run of
 # white space is one piece up to its last character, which goes with the word that follows.
 UNSAFE = re.compile(r" (?<=\s )(?=\s|\Z)")
 
+MARKS = frozenset(".,;:!?")
+LATIN = "\u0250"  # letters below are one code point each, before and after normalisation
+
+# Byte-level vocabularies write a byte as one character: itself if it is printable, else the next one from 256 on.
+UNPRINTABLE = [b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b <= 0xFF)]
+AS_SHOWN = {b: 256 + i for i, b in enumerate(UNPRINTABLE)}
+
 _encoders: dict[str, "Encoder"] = {}
 
 
 class Encoder:
     """Encodes whole texts. Equal to ``Tokenizer.encode(text, add_special_tokens=False).ids`` with
-    ``encode_special_tokens`` set, for tokenizers that cut words at spaces."""
+    ``encode_special_tokens`` set, for byte-level tokenizers that cut words at spaces.
+
+    A piece that is one word of Latin letters, or such a word and one mark, goes straight to the library's BPE model;
+    all others go through the library's whole path. A probe at the start turns the short way off where the two differ.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -25,24 +36,70 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
         self.width = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.folds = self.tokenizer.normalizer is not None  # lower case; white space has no ids
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
+        self.direct = True
+        probe = ["the", "Thonre,", "aionqué", "Größe.", "ÀÉ", "end.\nNext", "a\nb\ncé;"]
+        for lead in ("", " "):
+            whole = self._encode([lead + x for x in probe])
+            self.direct = self.direct and all(self._short(x, lead, {}) == y for x, y in zip(probe, whole, strict=True))
 
     def _encode(self, pieces: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
         return [np.array(e.ids, self.width).tobytes() for e in found]
 
+    def _word(self, word: str, lead: str) -> bytes:
+        """Ids of one word of letters or of one mark, by the BPE model."""
+        if self.folds:
+            word, lead = word.lower(), ""
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(AS_SHOWN)
+        ids = [t.id for t in self.model.tokenize("\u0120" + word if lead else word)]
+        return np.array(ids, self.width).tobytes()
+
+    def _short(self, piece: str, lead: str, known: dict[str, bytes]) -> bytes | None:
+        """Ids of a piece of plain words, or None."""
+        if "\n" in piece:
+            out = []
+            for i, part in enumerate(piece.split("\n")):
+                ids = known.get(part) if i == 0 else self.first.get(part)
+                ids = ids or (self._short(part, lead if i == 0 else "", known if i == 0 else self.first) if part else None)
+                if not ids:
+                    return None
+                out.append(ids)
+            if "\n" not in self.first:
+                self.first["\n"] = self._encode(["\n"])[0]
+            return self.first["\n"].join(out)
+        core, mark = (piece[:-1], piece[-1]) if piece[-1] in MARKS else (piece, "")
+        if not core.isalpha() or not (core.isascii() or max(core) < LATIN and core.lower().isalpha()):
+            return None
+        ids = (known.get(core) if mark else None) or self._word(core, lead)
+        if mark:
+            if mark not in self.first:
+                self.first[mark] = self._encode([mark])[0]
+            ids += self.first[mark]
+        return ids
+
     def _known(self, kept: dict[str, bytes], pieces: set[str], lead: str) -> dict[str, bytes]:
-        """kept, with all pieces in it or in a copy of it."""
-        new = list(pieces - kept.keys())
+        """kept, with all pieces in it or behind it."""
+        new = [x for x in pieces if x not in kept]
         if not new:
             return kept
-        ids = self._encode([lead + x for x in new])
+        found, rest = {}, []
+        for x in new:
+            ids = self._short(x, lead, kept) if self.direct and x else None
+            if ids is None:
+                rest.append(x)
+            else:
+                found[x] = ids
+        found.update(zip(rest, self._encode([lead + x for x in rest]), strict=True))
         if len(kept) < KEPT:
-            kept.update(x for x in zip(new, ids, strict=True) if len(x[0]) <= LONGEST)
-        rest = {x: y for x, y in zip(new, ids, strict=True) if x not in kept}
-        return Both(kept, rest) if rest else kept
+            kept.update((x, y) for x, y in found.items() if len(x) <= LONGEST)
+            found = {x: y for x, y in found.items() if x not in kept}
+        return Both(kept, found) if found else kept
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned integers of ``width``."""
