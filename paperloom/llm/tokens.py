@@ -2,6 +2,7 @@
 
 import os
 import re
+from array import array
 
 import numpy as np
 
@@ -38,6 +39,7 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.width = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = "H" if self.width.itemsize == 2 else "I"
         self.folds = self.tokenizer.normalizer is not None  # lower case; white space has no ids
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
@@ -49,7 +51,7 @@ class Encoder:
 
     def _encode(self, pieces: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-        return [np.array(e.ids, self.width).tobytes() for e in found]
+        return [array(self.code, e.ids).tobytes() for e in found]
 
     def _word(self, word: str, lead: str) -> bytes:
         """Ids of one word of letters or of one mark, by the BPE model."""
@@ -58,7 +60,7 @@ class Encoder:
         if not word.isascii():
             word = word.encode().decode("latin-1").translate(AS_SHOWN)
         ids = [t.id for t in self.model.tokenize("\u0120" + word if lead else word)]
-        return np.array(ids, self.width).tobytes()
+        return array(self.code, ids).tobytes()
 
     def _short(self, piece: str, lead: str, known: dict[str, bytes]) -> bytes | None:
         """Ids of a piece of plain words, or None."""
@@ -83,11 +85,11 @@ class Encoder:
             ids += self.first[mark]
         return ids
 
-    def _known(self, kept: dict[str, bytes], pieces: set[str], lead: str) -> dict[str, bytes]:
-        """kept, with all pieces in it or behind it."""
+    def _learn(self, kept: dict[str, bytes], pieces: set[str], lead: str) -> list[str]:
+        """Puts all pieces into kept; returns those that are to leave it after use."""
         new = [x for x in pieces if x not in kept]
         if not new:
-            return kept
+            return []
         found, rest = {}, []
         for x in new:
             ids = self._short(x, lead, kept) if self.direct and x else None
@@ -96,10 +98,9 @@ class Encoder:
             else:
                 found[x] = ids
         found.update(zip(rest, self._encode([lead + x for x in rest]), strict=True))
-        if len(kept) < KEPT:
-            kept.update((x, y) for x, y in found.items() if len(x) <= LONGEST)
-            found = {x: y for x, y in found.items() if x not in kept}
-        return Both(kept, found) if found else kept
+        full = len(kept) >= KEPT
+        kept.update(found)
+        return [x for x in found if full or len(x) > LONGEST]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned integers of ``width``."""
@@ -113,24 +114,18 @@ class Encoder:
         if whole:
             for i, ids in zip(whole, self._encode([texts[i] for i in whole]), strict=True):
                 out[i] = ids
-        first = self._known(self.first, {p[0] for _, p in cut}, "")
-        later = self._known(self.later, set().union(*(p[1:] for _, p in cut)), " ")
+        first, later = self.first, self.later
+        leave_first = self._learn(first, {p[0] for _, p in cut}, "")
+        leave_later = self._learn(later, set().union(*(p[1:] for _, p in cut)), " ")
         for i, pieces in cut:
             out[i] = first[pieces[0]] + b"".join(map(later.__getitem__, pieces[1:]))
+        for x in leave_first:
+            del first[x]
+        for x in leave_later:
+            del later[x]
         return out
 
 
-class Both(dict):
-    """The small dict itself, with another one behind it."""
-
-    def __init__(self, behind: dict, own: dict):
-        super().__init__(own)
-        self.behind = behind
-
-    def __missing__(self, key):
-        return self.behind[key]
-
-
 def encoder(path: str) -> Encoder:
     """The worker's encoder for a tokenizer file."""
     if path not in _encoders:
