@@ -1,6 +1,6 @@
 """Queries of the numbered operators."""
 
-from paperloom.llm import decontaminate, length_histogram, packing, substrings, token_files
+from paperloom.llm import decontaminate, language, length_histogram, packing, substrings, token_files
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op4_decontaminate": decontaminate.query,
         "op8_packing": packing.query,
         "op9_length_histogram": length_histogram.query,
+        "op10_language": language.query,
     }
 
 
