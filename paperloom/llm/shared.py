@@ -30,10 +30,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keyed_id():
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
+
+
 def keyed(docs: DataFrame, *more: str) -> DataFrame:
     """(_k, _t, doc_id, text, *more): rows of one doc_id and text share their key, and nulls can be joined on."""
     return docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("_k"),
+        keyed_id().alias("_k"),
         F.xxhash64(F.lit(0), F.col("text")).alias("_t"),
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
