@@ -1,6 +1,6 @@
 """Queries of the numbered operators."""
 
-from paperloom.llm import decontaminate, language, length_histogram, near_duplicates, packing, quality, substrings, token_files
+from paperloom.llm import decontaminate, language, length_histogram, lines, near_duplicates, packing, quality, substrings, token_files
 
 
 def queries() -> dict:
@@ -9,6 +9,7 @@ def queries() -> dict:
         "op3_substring_dedup": substrings.query,
         "op4_decontaminate": decontaminate.query,
         "op5_quality": quality.query,
+        "op6_line_dedup": lines.query,
         "op7_near_duplicates": near_duplicates.query,
         "op8_packing": packing.query,
         "op9_length_histogram": length_histogram.query,
