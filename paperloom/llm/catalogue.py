@@ -1,11 +1,12 @@
 """Queries of the numbered operators."""
 
-from paperloom.llm import decontaminate, language, length_histogram, lines, near_duplicates, packing, quality, substrings, token_files
+from paperloom.llm import decontaminate, language, length_histogram, lines, near_duplicates, neighbours, packing, quality, substrings, token_files
 
 
 def queries() -> dict:
     return {
         "op1_token_files": token_files.query,
+        "op2_neighbours": neighbours.query,
         "op3_substring_dedup": substrings.query,
         "op4_decontaminate": decontaminate.query,
         "op5_quality": quality.query,
@@ -19,6 +20,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict:
     return {
+        "op2_neighbours": neighbours.query,
         "op3_substring_dedup": substrings.SQL,
         "op4_decontaminate": decontaminate.SQL,
     }
