@@ -1,45 +1,60 @@
 """Language identification by averaged hashed subword embeddings and a linear softmax (operator 10).
 
-A text's subwords are its lower-cased words with their ends marked and their character 3- and 4-grams, hashed to DIM
-rows of an embedding table. Table and softmax are trained in numpy by stochastic gradient descent on at most
-``sample`` labelled rows, the ones with the least hash; a tenth of them sets the temperature that calibrates scores and
-the score below which a target precision is missed. A text's logits are the mean of its subwords' logits, so a word's
-part in them is computed once and remembered in each worker.
+A text's subwords are the runs of three and four bytes of its letters, with A-Z in lower case and other ASCII characters
+as spaces, hashed to DIM rows of an embedding table. Table and softmax are trained in numpy by stochastic gradient descent
+on at most ``sample`` labelled rows, the ones with the least hash; a tenth of them sets the temperature that calibrates
+scores and the score below which a target precision is missed. A text's logits are the mean of its subwords' logits, so
+after training the table holds those.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; repeated rows are scored each; rows with
 a null doc_id or lang are never learned from; without any row to learn from, all is ``und``.
 """
 
-import re
-import zlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paperloom.llm.words import chunks
+
 SAMPLE = 3000  # rows at most that the model learns from
 DIM = 1 << 15
 WIDTH = 16
-KEPT = 500_000  # words remembered in a worker
-WORD = re.compile(r"[^\W\d_]+")
-
-
-def subwords(word: str) -> list[int]:
-    w = f"<{word}>"
-    grams = [w] + [w[i : i + n] for n in (3, 4) for i in range(len(w) - n + 1)]
-    return [zlib.crc32(g.encode()) % DIM for g in grams]
+SIZES = (3, 4)
+SHOWN = np.full(256, 0x20, np.uint8)
+SHOWN[0x80:] = np.arange(0x80, 0x100)
+SHOWN[0x61:0x7B] = np.arange(0x61, 0x7B)
+SHOWN[0x41:0x5B] = np.arange(0x61, 0x7B)
+
+
+def subwords(raw: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+    """For each size, the table row of the subword that begins at each byte of consecutive texts; DIM where it would
+    reach into the next text."""
+    data = SHOWN[raw].astype(np.uint32)
+    out = []
+    for n in SIZES:
+        h = np.zeros(len(data), np.uint32)
+        for j in range(n):
+            h *= np.uint32(0x01000193)
+            h[: len(data) - j] ^= data[j:]
+        h = ((h * np.uint32(0x9E3779B1)) >> np.uint32(17)).astype(np.int64)
+        for j in range(1, n):
+            past = offsets[1:] - j
+            h[past[past >= offsets[:-1]]] = DIM
+        out.append(h)
+    return out
 
 
 def _bags(batches):
     """For training rows: which subwords a text has, and how often."""
     for batch in batches:
         rows = []
-        for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
-            seen = [g for word in WORD.findall(text.lower()) for g in subwords(word)]
-            counts = np.bincount(np.array(seen, np.int64), minlength=1)
-            ids = np.flatnonzero(counts)
-            rows.append((ids.tolist(), counts[ids].tolist(), lang))
+        for i, data, offsets in chunks(batch.column("text")):
+            found = subwords(data, offsets)
+            for d, (a, b) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
+                counts = np.bincount(np.concatenate([h[a:b] for h in found]), minlength=DIM + 1)[:DIM]
+                ids = np.flatnonzero(counts)
+                rows.append((ids.tolist(), counts[ids].tolist(), batch.column("lang")[i + d].as_py()))
         ids, n, langs = zip(*rows, strict=True) if rows else ((), (), ())
         kinds = (pa.list_(pa.int32()), pa.list_(pa.int32()), pa.string())
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((ids, n, langs), kinds, strict=True)], ["ids", "n", "lang"])
@@ -77,8 +92,8 @@ def train(rows: list[tuple[list[int], list[int], str]], target_precision: float
             back = soft @ wrong
             soft -= step * np.outer(mean, wrong)
             bias -= step * wrong * 0.1
-            # A table row's share is small, so its step is scaled up by the number of different subwords.
-            table[ids] -= step * len(ids) * np.outer(share, back)
+            # Shares are small; scaled by their squares' sum, the step moves the mean as far for long and short texts.
+            table[ids] -= step / (share @ share) * np.outer(share, back)
     logits = table @ soft
     temperature, least = 1.0, 0.0
     if held:
@@ -104,40 +119,39 @@ def fit(docs: DataFrame, sample: int = SAMPLE, target_precision: float = 0.95) -
     return train([(r.ids, r.n, r.lang) for r in bags.collect()], target_precision)
 
 
-def _predictor(shared, reject: bool, keep: list[str]):
+def _has_letter(raw: np.ndarray) -> bool:
+    shown = SHOWN[raw]
+    if ((shown != 0x20) & (shown < 0x80)).any():
+        return True
+    return bool((shown >= 0x80).any()) and any(map(str.isalpha, raw.tobytes().decode(errors="replace")))
+
+
+def _predictor(shared, reject: bool):
     def predict(batches):
-        model, known = shared.value, {}
+        model = shared.value
         k = len(model.langs)
-        values = np.zeros((1024, k + 1), np.float32)
-
-        def learn(words) -> None:
-            nonlocal values
-            for word in words:
-                at = len(known)
-                if at == len(values):
-                    values = np.concatenate([values, np.zeros_like(values)])
-                ids = subwords(word)
-                values[at, :k], values[at, k] = model.table[ids].sum(0), len(ids)
-                known[word] = at
-
+        table = np.vstack([model.table, np.zeros((1, k))]).astype(np.float32)
         for batch in batches:
             langs, scores = [], []
-            for text in batch.column("text").to_pylist():
-                words = WORD.findall(text.lower()) if text else []
-                if not k or not any(any(map(str.isalpha, w)) for w in words):
-                    langs.append("und")
-                    scores.append(0.0)
-                    continue
-                if len(known) > KEPT:
-                    known.clear()
-                learn({w for w in words if w not in known})
-                sums = values[np.fromiter(map(known.__getitem__, words), np.int64, len(words))].sum(0, dtype=np.float64)
-                p = _softmax((sums[:k] / sums[k] + model.bias) / model.temperature)
-                best = int(p.argmax())
-                langs.append("und" if reject and p[best] < model.reject_below else model.langs[best])
-                scores.append(float(p[best]))
-            known_columns = [batch.column(c) for c in keep]
-            yield pa.RecordBatch.from_arrays([*known_columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*keep, "lang_pred", "score"])
+            for _, data, offsets in chunks(batch.column("text")):
+                size = np.diff(offsets)
+                sums = np.zeros((len(size), k))
+                some = np.flatnonzero(size > 0)
+                if len(some):
+                    for h in subwords(data, offsets):
+                        sums[some] += np.add.reduceat(table[h], offsets[some], dtype=np.float64)
+                n = sum(np.maximum(size - j + 1, 0) for j in SIZES)
+                p = _softmax((sums / np.maximum(n, 1)[:, None] + model.bias) / model.temperature) if k else np.zeros((len(size), 1))
+                best = p.argmax(1)
+                for d, (a, b) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
+                    score = float(p[d, best[d]])
+                    if not k or not _has_letter(data[a:b]):
+                        langs.append("und")
+                        scores.append(0.0)
+                    else:
+                        langs.append("und" if reject and score < model.reject_below else model.langs[best[d]])
+                        scores.append(score)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return predict
 
@@ -146,7 +160,7 @@ def identify(docs: DataFrame, model: Model, reject: bool = True) -> DataFrame:
     """doc_id, lang_pred and score of each row of docs (doc_id, text). reject: a score below the model's bound gives ``und``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # DIM rows
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_predictor(shared, reject, ["doc_id"]), "doc_id long, lang_pred string, score double")
+    return rows.mapInArrow(_predictor(shared, reject), "doc_id long, lang_pred string, score double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
