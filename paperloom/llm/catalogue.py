@@ -20,7 +20,6 @@ def queries() -> dict:
 
 def oracle_sql() -> dict:
     return {
-        "op2_neighbours": neighbours.query,
         "op3_substring_dedup": substrings.SQL,
         "op4_decontaminate": decontaminate.SQL,
     }
