@@ -98,7 +98,7 @@ def confidence(t: Column) -> Column:
     """A confidence in words or digits, held to 0..1; 0.5 for anything else."""
     named = F.create_map(*[x for k, v in CONFIDENCES.items() for x in (F.lit(k), F.lit(v))])
     number = t.try_cast("double")
-    return F.coalesce(F.try_element_at(named, F.lower(F.trim(t))), F.greatest(F.lit(0.0), F.least(F.lit(1.0), number)), F.lit(0.5))
+    return F.coalesce(F.try_element_at(named, F.lower(F.trim(t))), F.when(number.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), number))), F.lit(0.5))
 
 
 def noise(t: Column) -> Column:
