@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, LongType, StringType, StructField, StructType
 
-from paperloom.llm.shared import written
+from paperloom.llm.shared import apart, restored, written
 from paperloom.llm.words import ALNUM, ngram_hashes, words_of
 
 BLOCK_WINDOWS = 100_000
@@ -214,8 +214,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline: documents that hold a window of an item go."""
-    judged = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=tuple(docs.columns))
-    return judged.where(F.size("spans") == 0).select(*docs.columns)
+    own = apart(docs)
+    judged = decontaminate(own, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=tuple(own.columns))
+    return judged.where(F.size("spans") == 0).select(*restored(docs))
 
 
 SQL = r"""

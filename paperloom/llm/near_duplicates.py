@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.llm.components import components
-from paperloom.llm.shared import key_of, keyed, keyed_id, written
+from paperloom.llm.shared import apart, key_of, keyed, keyed_id, restored, written
 from paperloom.llm.words import SPACED, Words, mix, ngram_hashes, words_of
 
 BANDS, ROWS = 32, 4  # a pair at 0.8 shares no band with a chance of 5e-8
@@ -261,5 +261,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline: of each component on 5-word shingles, the document of the least doc_id stays."""
     first = groups(docs).where((F.col("_k") == F.col("first._k")) & (F.col("_t") == F.col("first._t"))).select("_k", "_t").distinct()
-    rows = docs.withColumns({"_k": keyed_id(), "_t": F.xxhash64(F.lit(0), F.col("text"))})
-    return rows.join(first, ["_k", "_t"], "left_semi").dropDuplicates(["_k", "_t"]).select(*docs.columns)
+    rows = apart(docs).withColumns({"_k": keyed_id(), "_t": F.xxhash64(F.lit(0), F.col("text"))})
+    return rows.join(first, ["_k", "_t"], "left_semi").dropDuplicates(["_k", "_t"]).select(*restored(docs))

@@ -14,9 +14,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paperloom.llm.shared import apart, restored
+
 SAMPLE = 8000  # labelled rows at most that the model learns from
 TREES, DEPTH, BINS, LEAST = 24, 3, 32, 10
 PENALTY = 2e-3
+AT_LEAST = 0.3  # score from which a document is taken for good
 
 
 def statistics() -> dict[str, Column]:
@@ -144,13 +147,18 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> RuleModel:
     return RuleModel([(rule, float(w)) for rule, w in zip(rules, weights, strict=True) if w], bias)
 
 
-def scored(docs: DataFrame, model: RuleModel, at_least: float = 0.3) -> DataFrame:
-    """docs with ``quality_score`` and ``quality_predicted``; other columns stay as they are."""
-    own = docs.columns
+def _scored(docs: DataFrame, model: RuleModel) -> DataFrame:
+    """docs, as from ``apart``, with ``score``."""
     stats = statistics()
-    with_stats = docs.withColumns({f"_stat_{n}": c for n, c in stats.items()})
-    out = with_stats.withColumn("quality_score", model.score([F.col(f"_stat_{n}") for n in stats]))
-    return out.select(*own, "quality_score", (F.col("quality_score") >= at_least).cast("int").alias("quality_predicted"))
+    return apart(docs).withColumns(stats).withColumn("score", model.score([F.col(n) for n in stats]))
+
+
+def scored(docs: DataFrame, model: RuleModel, at_least: float = AT_LEAST) -> DataFrame:
+    """docs with ``quality_score`` and ``quality_predicted``, which replace columns of these names; other columns stay as
+    they are."""
+    out = _scored(docs, model).withColumn("predicted", (F.col("score") >= at_least).cast("int"))
+    own = restored(docs, "quality_score", "quality_predicted")
+    return out.select(*own, F.col("score").alias("quality_score"), F.col("predicted").alias("quality_predicted"))
 
 
 def _remainder(column: str = "doc_id") -> Column:
@@ -171,4 +179,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline: documents that the classifier rejects go."""
-    return scored(docs, _learned(spark, docs, sf_dir)).where("quality_predicted = 1").select(*docs.columns)
+    return _scored(docs, _learned(spark, docs, sf_dir)).where(F.col("score") >= AT_LEAST).select(*restored(docs))

@@ -30,6 +30,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def apart(docs: DataFrame) -> DataFrame:
+    """docs with all columns but doc_id and text renamed, so that no name of theirs can clash."""
+    return docs.select(*(F.col(f"`{c}`").alias(_apart(i, c)) for i, c in enumerate(docs.columns)))
+
+
+def restored(docs: DataFrame, *replaced: str) -> list:
+    """The columns of docs, from what ``apart`` renamed, but for the replaced ones."""
+    return [F.col(_apart(i, c)).alias(c) for i, c in enumerate(docs.columns) if c not in replaced]
+
+
+def _apart(i: int, name: str) -> str:
+    return name if name in ("doc_id", "text") else f"column_{i}"
+
+
 def keyed_id():
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
 
