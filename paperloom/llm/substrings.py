@@ -206,7 +206,8 @@ def repeated_spans(docs: DataFrame, size: int = 35, bucket: int = BUCKET) -> Dat
     counted = written(dealt.mapInArrow(_bucket_counter(size), COUNTED), "counted")
     plain = counted.where("packed_id is null").select("_k", "_t", "start", "spans")
     hot = counted.where("packed_id is not null").select("packed_id", "digest", "place", "n")
-    often = hot.groupBy("digest").agg(F.sum("n").alias("n")).where("n > 1").select("digest")
+    # Written, so that both sides of the join below are plain shuffles, of which Spark splits a digest in very many places.
+    often = written(hot.groupBy("digest").agg(F.sum("n").alias("n")).where("n > 1").select("digest"), "often")
     places = hot.join(often, "digest").groupBy("packed_id").agg(F.array_sort(F.collect_set("place")).alias("places"))
     pieces = F.transform("places", lambda p: F.array(p, p + size))
     again = packed.join(salts.where("salts > 1"), "key").select("_k", "_t", "start", F.substring(F.unhex(F.sha2("packed", 256)), 1, 16).alias("packed_id"))
