@@ -207,3 +207,9 @@ def accept_cleaned(old: Column, new: Column) -> Column:
     """The new text if it is not empty and within half and one and a half times the old length."""
     n = F.length(new)
     return F.when((n > 0) & (n >= 0.5 * F.length(old)) & (n <= 1.5 * F.length(old)), new).otherwise(old)
+
+
+def grams_of(text: Column, size: int) -> Column:
+    """The distinct character grams of a text."""
+    all_of = F.transform(F.sequence(F.lit(1), F.length(text) - size + 1), lambda at: F.substring(text, at, F.lit(size)))
+    return F.when(F.length(text) >= size, F.array_distinct(all_of)).otherwise(F.array().cast("array<string>"))

@@ -1,9 +1,11 @@
 """Findings of several auditors."""
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from paperloom.functions.text import grams_of
 from paperloom.operators.telemetry import ratio
 
 SEVERITIES = ["baixo", "medio", "alto", "critico"]  # fixed values, in order
@@ -99,15 +101,59 @@ def occurrences(text: Column, excerpt: Column) -> Column:
     return F.size(F.split(F.lower(text), F.concat(F.lit(r"(?=\Q"), F.lower(excerpt), F.lit(r"\E)")), -1)) - F.when(F.lower(text).startswith(F.lower(excerpt)), 0).otherwise(1)
 
 
+def _tokens(text: Column) -> Column:
+    return F.split(F.lower(text), r"\s+")
+
+
+def _pairs(docs: DataFrame, excerpts: DataFrame) -> DataFrame:
+    """(doc_id, text, item_id, excerpt) of all documents that hold an excerpt, without regard to case. Words inside an
+    excerpt are whole words of the document, so both sides meet on the longest of them. An excerpt of one or two words
+    meets, by its longest word's first three characters, all words of the documents that hold that word. What has no
+    word at all is compared with all documents."""
+    wanted = excerpts.where("excerpt is not null").select("excerpt").distinct()
+    longest = lambda x: F.array_max(F.transform(x, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    inner = longest(F.filter(_tokens(F.col("excerpt")), lambda w, at: (at > 0) & (at < F.size(_tokens(F.col("excerpt"))) - 1)))
+    wanted = wanted.select("excerpt", inner.alias("inner"), longest(_tokens(F.col("excerpt"))).alias("outer"))
+    words = docs.select("doc_id", F.explode(F.array_distinct(_tokens(F.col("text")))).alias("word"))
+    whole = wanted.where("inner <> ''").select("excerpt", F.col("inner").alias("word"))
+    short = wanted.where("coalesce(inner, '') = '' and outer <> ''").select("excerpt", "outer", F.substring("outer", 1, 3).alias("gram"))
+    grams = F.concat(*[grams_of(F.col("word"), n) for n in (1, 2, 3)])
+    held = words.select("word").distinct().select("word", F.explode(grams).alias("gram")).join(short, "gram").where(F.col("word").contains(F.col("outer")))
+    met = words.join(whole.unionByName(held.select("excerpt", "word")), "word").select(F.col("doc_id").alias("d"), "excerpt").distinct()
+    has = F.lower("text").contains(F.lower("excerpt"))
+    pairs = met.join(docs, F.col("d").eqNullSafe(F.col("doc_id"))).where(has).select("doc_id", "text", "excerpt")
+    wordless = wanted.where("outer = ''").select("excerpt")
+    pairs = pairs.unionByName(docs.select("doc_id", "text").join(wordless, has))
+    return pairs.join(excerpts.select("item_id", "excerpt"), "excerpt")
+
+
 def locate(docs: DataFrame, excerpts: DataFrame) -> DataFrame:
-    """Exact occurrences of excerpts (item_id, excerpt) in documents. Both sides meet on the first word of
-    the excerpt, so no document is compared with all excerpts."""
-    first = lambda c: F.element_at(F.split(F.lower(c), r"\s+"), 1)
-    keys = excerpts.select("item_id", "excerpt", first(F.col("excerpt")).alias("key")).where("key <> ''")
-    tokens = docs.select("doc_id", F.explode(F.array_distinct(F.split(F.lower("text"), r"\s+"))).alias("key"))
-    pairs = tokens.join(keys, "key").join(docs.select("doc_id", "text"), "doc_id")
-    place = F.instr(F.lower("text"), F.lower("excerpt"))
-    return pairs.withColumn("place", place).where("place > 0").select("doc_id", "item_id", (F.col("place") - 1).cast("long").alias("start"), (F.col("place") - 1 + F.length("excerpt")).cast("long").alias("end"))
+    """The first exact occurrence of each excerpt (item_id, excerpt) in each document that has it."""
+    start = F.instr(F.lower("text"), F.lower("excerpt")) - 1
+    return _pairs(docs, excerpts).select("doc_id", "item_id", start.cast("long").alias("start"), (start + F.length("excerpt")).cast("long").alias("end"))
+
+
+def _starts(text: Column, excerpt: Column) -> Column:
+    @F.pandas_udf("array<long>")
+    def starts(texts: pd.Series, excerpts: pd.Series) -> pd.Series:
+        out = []
+        for text, excerpt in zip(texts, excerpts, strict=True):
+            found, at = [], text.find(excerpt)
+            while at >= 0:
+                found.append(at)
+                at = text.find(excerpt, at + 1)
+            out.append(found)
+        return pd.Series(out)
+
+    return starts(text, excerpt)
+
+
+def all_places(docs: DataFrame, excerpts: DataFrame) -> DataFrame:
+    """Every exact occurrence of excerpts (item_id, excerpt) in documents, overlapping ones too, with the number of
+    occurrences of the excerpt in the document."""
+    found = _pairs(docs, excerpts).withColumn("starts", _starts(F.lower("text"), F.lower("excerpt")))
+    out = found.select("doc_id", "item_id", F.size("starts").cast("long").alias("n"), F.length("excerpt").alias("size"), F.explode("starts").alias("start"))
+    return out.select("doc_id", "item_id", "start", (F.col("start") + F.col("size")).alias("end"), "n")
 
 
 def vote(votes: DataFrame, *keys: str) -> DataFrame:

@@ -191,6 +191,15 @@ def citation_places(spark, d):
     return c.locate(docs(spark, d), v.table(spark, d, "benchmark").select("item_id", F.col("text").alias("excerpt")))
 
 
+@query(
+    "j16_all_places",
+    f"""with {CITED}, f as (select doc_id, item_id, len(excerpt) size, list_filter(range(1, len(text) + 1), lambda z: substring(lower(text), z, len(excerpt)) = lower(excerpt)) places from documents, cited where contains(lower(text), lower(excerpt)))
+select doc_id, item_id, place - 1 "start", place - 1 + size "end", n from (select doc_id, item_id, size, len(places) n, unnest(places) place from f)""",
+)
+def all_places(spark, d):
+    return c.all_places(docs(spark, d), v.table(spark, d, "benchmark").select("item_id", F.col("text").alias("excerpt")))
+
+
 @query("a24_citation_scores", using("spans", """select auditor_id, count(*) total, count(*) filter (where line % 3 > 0) valid, count(*) filter (where line % 3 > 0)::double / count(*) score from spans group by 1"""))
 def citation_scores(spark, d):
     return c.citation_scores(findings(spark, d).withColumn("status", F.when(F.col("line") % 3 > 0, "valid").otherwise("ambiguous")))

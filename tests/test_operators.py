@@ -59,6 +59,26 @@ def test_occurrences_overlap(spark):
     assert [r.n for r in row.select(consensus.occurrences(F.col("t"), F.col("e")).alias("n")).collect()] == [2, 1, 0]
 
 
+def test_excerpts_are_found_beside_marks_and_at_every_place(spark):
+    texts = ["He said (The quick fox) and the quick fox", "aXaXa \\E. one  two", " lead", "concatenate", None, "", "q"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    wanted = ["the quick", "the quick fox", "axa", "\\e.", "one  two", " lead", "cat", " ", None, "", "q", "the quick"]
+    items = spark.createDataFrame(list(enumerate(wanted)), "item_id long, excerpt string")
+    every = []
+    for d, t in enumerate(texts):
+        for i, x in enumerate(wanted):
+            if t is not None and x:
+                starts = [k for k in range(len(t)) if t.lower().startswith(x, k)]
+                every += [(d, i, k, k + len(x), len(starts)) for k in starts]
+    got = [tuple(r) for r in consensus.all_places(docs, items.where("excerpt <> ''")).select("doc_id", "item_id", "start", "end", "n").collect()]
+    assert sorted(got) == sorted(every)
+    first = {}
+    for d, i, s, e, _ in every:
+        first.setdefault((d, i), (s, e))
+    first.update({(d, 9): (0, 0) for d, t in enumerate(texts) if t is not None})
+    assert {(r.doc_id, r.item_id): (r.start, r.end) for r in consensus.locate(docs, items).collect()} == first
+
+
 def test_penalties(spark):
     e = spark.createDataFrame([(1, "EXCERPT_MISMATCH", 4), (2, "EXCERPT_MISMATCH", 10), (2, "SEM_PROVA_DETERMINANTE", 10)], "run_id long, error_type string, n long")
     out = integrity.penalties(e).withColumn("adjusted", integrity.adjusted(F.lit(0.9), F.col("penalty"), F.col("ceiling")))
