@@ -67,9 +67,13 @@ def unknown_ids(cited: DataFrame, known: DataFrame, key: str) -> DataFrame:
 
 
 def unknown_prefixes(cited: DataFrame, known: DataFrame, key: str, n: int = 10) -> DataFrame:
-    """Cited string ids of which no known id has the first ``n`` characters."""
-    short = F.substring(key, 1, n)
-    return cited.withColumn("p", short).join(known.select(short.alias("p")).distinct(), "p", "left_anti").drop("p")
+    """Cited string ids that are not known and whose first ``n`` characters are in no known id; ids of fewer
+    characters must be equal to a known one. None if nothing is known."""
+    ids = known.where(F.col(key).isNotNull()).select(key).distinct()
+    parts = F.transform(F.sequence(F.lit(1), F.length(key) - n + 1), lambda at: F.substring(key, at, F.lit(n)))
+    held = ids.where(F.length(key) >= n).select(F.explode(F.array_distinct(parts)).alias("p")).distinct()
+    out = unknown_ids(cited, ids, key).withColumn("p", F.when(F.length(key) >= n, F.substring(key, 1, n)))
+    return out.join(held, "p", "left_anti").drop("p")
 
 
 def files_present(expected: DataFrame, present: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from paperloom.functions.text import grams_of
+
 
 def sequence_ratio(a: Column, b: Column) -> Column:
     """The share of characters in matching blocks, as difflib counts it."""
@@ -18,15 +20,34 @@ def sequence_ratio(a: Column, b: Column) -> Column:
     return ratio(a, b)
 
 
+def _comparable(names: DataFrame, aliases: DataFrame, least: float) -> DataFrame:
+    """All pairs of (name, n) and (alias, a) whose n and a may have a ratio of ``least``. Without a common bigram, m equal
+    characters leave m - 1 others between them at least, so the ratio is at most 2 m / (3 m - 1); at 0.8 m is 2 and both
+    texts together have five characters. Texts that short meet on single characters, longer ones on bigrams. The ratio
+    also bounds the longer length by the shorter one."""
+    if least <= 0:
+        return names.crossJoin(aliases)
+    if 3 * least <= 2 + 1e-9:
+        grams = lambda c: grams_of(F.col(c), 1)
+    else:
+        short = int(2 * int(least / (3 * least - 2) + 1e-9) / least + 1e-9)
+        one = lambda c: F.when(F.length(c) <= short, grams_of(F.col(c), 1)).otherwise(F.array().cast("array<string>"))
+        grams = lambda c: F.concat(one(c), grams_of(F.col(c), 2))
+    n = names.select("name", "n", F.explode(grams("n")).alias("gram"))
+    a = aliases.select("alias", "a", F.explode(grams("a")).alias("gram"))
+    fits = 2 * F.least(F.length("n"), F.length("a")) >= least * (F.length("n") + F.length("a")) - 1e-9
+    return n.join(a, "gram").where(fits).select("name", "n", "alias", "a").distinct()
+
+
 def resolve_names(names: DataFrame, laws: DataFrame, least: float = 0.8) -> DataFrame:
     """Laws (alias, law) by exact name, by name without case, else by the most similar alias of at least ``least``.
-    Only names that are left after the equal ones are compared, with aliases of the same first letter."""
+    Only names that are left after the equal ones are compared, with all aliases that can be so similar."""
     low = lambda c: F.lower(F.trim(c))
     n, a = names.select("name").distinct(), laws.select("alias", "law")
     exact = n.join(a, low(F.col("name")) == low(F.col("alias"))).groupBy("name").agg(F.min_by("law", "alias").alias("law"), F.lit(1.0).alias("similarity"))
-    left = n.join(exact, "name", "left_anti").alias("n")
-    close = left.join(a, F.substring(low(F.col("name")), 1, 1) == F.substring(low(F.col("alias")), 1, 1))
-    close = close.withColumn("similarity", sequence_ratio(low(F.col("name")), low(F.col("alias")))).where(F.col("similarity") >= least)
+    left = n.join(exact, "name", "left_anti")
+    close = _comparable(left.withColumn("n", low(F.col("name"))), a.select("alias").distinct().withColumn("a", low(F.col("alias"))), least)
+    close = close.withColumn("similarity", sequence_ratio(F.col("n"), F.col("a"))).where(F.col("similarity") >= least).join(a, "alias")
     best = close.groupBy("name").agg(F.min_by(F.struct("law", "similarity"), F.struct(-F.col("similarity"), "alias")).alias("b")).select("name", "b.law", "b.similarity")
     return n.join(exact.unionByName(best), "name", "left")
 

@@ -140,6 +140,28 @@ def test_sequence_ratio_and_names(spark):
     assert found == {"código civil": "CC", "Codigo Civil": "CC", "Zzz": None}
 
 
+def test_names_are_compared_with_all_aliases_that_can_be_similar(spark):
+    from difflib import SequenceMatcher
+
+    aliases = ["decreto-lei n.o 53/2014", "economy anodized nickel", "abc", "ab", "xyzzy", "lei"]
+    names = ["o decreto-lei n.o 53/2014", "promo anodized nickel", "bc", "cab", "axb", "zyzzy", "wlei", "q", ""]
+    found = legal.resolve_names(spark.createDataFrame([(x,) for x in names], "name string"), spark.createDataFrame([(x, x) for x in aliases], "alias string, law string"))
+    best = {}
+    for x in names:
+        ratio, law = min((-SequenceMatcher(None, x, a).ratio(), a) for a in aliases)
+        best[x] = law if -ratio >= 0.8 else None
+    assert {r.name: r.law for r in found.collect()} == best
+
+
+def test_ids_are_unknown_without_their_start_in_a_known_id(spark):
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "id string")
+    cited = ids("item-00001-tail", "short", "shor", "item-00002-x", "other-0001", None)
+    known = ids("prefix item-00001", "short", "shorter", "item-00002", None)
+    unknown = integrity.unknown_prefixes(cited, known, "id")
+    assert {r.id for r in unknown.collect()} == {"shor", "other-0001", None}
+    assert integrity.unknown_prefixes(cited, ids(), "id").isEmpty()
+
+
 def test_items_merge_and_weak_sources(spark):
     items = spark.createDataFrame([(1, "date", "Ção", 0, 3, "E1", 1), (1, "date", "cao", 5, 8, "E2", 2), (1, "date", "x", 9, 10, "E1", 3)], "doc_id long, item_type string, value string, s long, e long, extractor_id string, line long")
     rows = {r.n_items: r for r in merging.by_hash(items).collect()}
