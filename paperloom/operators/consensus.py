@@ -61,10 +61,15 @@ def _greedy(least: float):
 
 def clusters(findings: DataFrame, least: float = 0.3) -> DataFrame:
     """Greedy clusters in order of (auditor_id, finding_id). The first free finding is a seed; free findings of other
-    auditors that overlap the seed enough join it. A document's findings depend on each other, so they are one row."""
+    auditors that overlap the seed enough join it. Findings depend on each other only where they overlap, so a document
+    is cut where no finding crosses, and what lies between two cuts is one row."""
     one = F.struct("auditor_id", "finding_id", "s", "e", "severity")
-    per_doc = findings.groupBy("doc_id").agg(F.array_sort(F.collect_list(one)).alias("findings"))
-    return per_doc.mapInArrow(_greedy(least), FINDING)
+    order = Window.partitionBy("doc_id").orderBy("s", "e")
+    reach = F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    marked = findings.withColumn("new", F.when(reach.isNull() | (F.col("s") >= reach), 1).otherwise(0))
+    marked = marked.withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    per_island = marked.groupBy("doc_id", "island").agg(F.array_sort(F.collect_list(one)).alias("findings"))
+    return per_island.mapInArrow(_greedy(least), FINDING)
 
 
 def contradictions(clustered: DataFrame) -> DataFrame:

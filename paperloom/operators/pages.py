@@ -1,5 +1,6 @@
 """Pages and chunks."""
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,18 +59,25 @@ def with_context(pages: DataFrame, n: int = 300) -> DataFrame:
 
 def batches(pages: DataFrame, budget: int) -> DataFrame:
     """Number of the batch of each page (doc_id, page_num, n_chars): a batch closes before the page that would
-    take it over the budget. A fold over a document's page lengths."""
-    ordered = F.array_sort(F.collect_list(F.struct("page_num", "n_chars")))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).alias("batch"), F.array().cast("array<struct<page_num:bigint,batch:int>>").alias("out"))
-
-    def step(acc, x):
-        full = (acc["used"] > 0) & (acc["used"] + x["n_chars"] > budget)
-        batch = acc["batch"] + F.when(full, 1).otherwise(0)
-        used = F.when(full, x["n_chars"]).otherwise(acc["used"] + x["n_chars"])
-        return F.struct(used.alias("used"), batch.alias("batch"), F.concat(acc["out"], F.array(F.struct(x["page_num"].alias("page_num"), batch.alias("batch")))).alias("out"))
-
-    rows = pages.select("doc_id", F.col("page_num").cast("long").alias("page_num"), F.col("n_chars").cast("long").alias("n_chars")).groupBy("doc_id").agg(F.aggregate(ordered, start, step)["out"].alias("x"))
-    return rows.select("doc_id", F.inline("x"))
+    take it over the budget. A document's pages follow each other in one task, which keeps only the batch it fills."""
+
+    def number(parts):
+        doc, used, batch = None, 0, -1
+        for part in parts:
+            out = []
+            for d, n in zip(part.column("doc_id").to_pylist(), part.column("n_chars").to_pylist(), strict=True):
+                if batch < 0 or d != doc:
+                    doc, used, batch = d, 0, 0
+                n = n or 0
+                if used > 0 and used + n > budget:
+                    used, batch = 0, batch + 1
+                used += n
+                out.append(batch)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("page_num"), pa.array(out, pa.int32())], ["doc_id", "page_num", "batch"])
+
+    rows = pages.select("doc_id", F.col("page_num").cast("long").alias("page_num"), F.col("n_chars").cast("long").alias("n_chars"))
+    kind = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, page_num long, batch int"
+    return rows.repartition("doc_id").sortWithinPartitions("doc_id", "page_num", "n_chars").mapInArrow(number, kind)
 
 
 def fixed_chunks(docs: DataFrame, size: int, overlap: int) -> DataFrame:

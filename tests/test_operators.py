@@ -47,6 +47,47 @@ def test_overlap_needs_a_share_of_the_shorter_range(spark):
     assert {r.finding_id: r.cluster_id for r in consensus.clusters(f).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
 
 
+def test_clusters_batches_and_breaker_hold_no_whole_document(spark):
+    import random
+
+    rng = random.Random(1)
+    rows = [(d, f"A{rng.randrange(4)}", i, x := 10 * rng.randrange(60), x + rng.randrange(14), "alto", i) for d in range(2) for i in range(200 * d, 200 * d + 200)]
+    f = spark.createDataFrame(rows, consensus.FINDING)
+    want = {}
+    for d in range(2):
+        free = sorted((r for r in rows if r[0] == d), key=lambda r: r[1:3])
+        while free:
+            seed = free[0]
+            own = [r for r in free[1:] if r[1] != seed[1] and (n := min(r[4], seed[4]) - max(r[3], seed[3])) > 0 and n >= 0.3 * min(r[4] - r[3], seed[4] - seed[3])]
+            want.update({r[2]: seed[2] for r in [seed, *own]})
+            free = [r for r in free if r[2] not in want]
+    assert {r.finding_id: r.cluster_id for r in consensus.clusters(f.drop("cluster_id")).collect()} == want
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        lengths = [(d, i, rng.randrange(60)) for d in range(3) for i in range(100)]
+        sizes, used, batch = {}, 0, 0
+        for d, i, n in lengths:
+            used, batch = (0, 0) if i == 0 else (used, batch)
+            used, batch = (n, batch + 1) if used > 0 and used + n > 100 else (used + n, batch)
+            sizes[d, i] = batch
+        numbered = pages.batches(spark.createDataFrame(lengths, "doc_id long, page_num long, n_chars long"), 100)
+        assert {(r.doc_id, r.page_num): r.batch for r in numbered.collect()} == sizes
+        calls = [(p, 7.0 * i, i, rng.random() < 0.4) for p in "pqr" for i in range(100)]
+        df = spark.createDataFrame(calls, "provider string, at double, seq int, success boolean")
+        traced = streams.breaker_trace(df)
+        got = {(r.provider, r.at): (r.success, r.allowed, r.state, r.failures) for r in traced.collect()}
+        for p in "pqr":
+            state = ("CLOSED", 0, 0.0)
+            for _, at, _, success in (c for c in calls if c[0] == p):
+                *state, allowed = streams._step(*state, at, success)
+                assert got[p, at] == (success, allowed, *state[:2])
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "island" in plan(consensus.clusters(f.drop("cluster_id"))) and "collect_list" not in plan(numbered) and "FlatMapGroups" not in plan(traced)
+
+
 def test_score(spark):
     f = spark.createDataFrame([(1, 1, a) for a in "ABC"], "doc_id long, cluster_id long, auditor_id string")
     v = spark.createDataFrame([(a, 1.0, 1.0) for a in "ABC"], "auditor_id string, validity double, compliance double")
