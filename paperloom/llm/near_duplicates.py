@@ -5,10 +5,11 @@ HASHES minima; those of the bands give candidate buckets, and the low two bits o
 of similarity, corrected for the quarter of bits that agree by chance. Pairs whose estimate is more than MARGIN below
 the threshold are out (almost five standard deviations); the others are confirmed on the full sets.
 
-Links are needed for components only, so a bucket first gives the edges of a maximum spanning forest of its estimates;
-after these are confirmed, classes in different components give their ROUND_TWO best candidates, and last all candidates
-that still lie between different components. Buckets are compared in blocks of BLOCK members, so no task holds a whole
-group, and no link is lost to a cap.
+Links are needed for components only, so buckets are first cut into blocks of BLOCK members, each with the bucket's lead,
+and give the edges of a maximum spanning forest of the estimates in each block. After these are confirmed, only the
+outsiders of a bucket, members of other components than most of its members, are compared with all of the bucket; a
+pair is looked at in the first band that both share. Such a comparison lists its candidates, gets each of their texts
+once, and confirms on full sets inside the block, so copies cost about their number and no link is lost to a cap.
 
 Defined results: a text of fewer words than a shingle has one, all its words; a text without words has none and is
 linked with nothing; repeated rows are one class; among rows that share a doc_id each has its own text's component.
@@ -29,7 +30,7 @@ BANDS, ROWS = 32, 4  # a pair at 0.8 shares no band with a chance of 5e-8
 HASHES = 256
 MARGIN = 0.14
 BLOCK = 512
-ROUND_TWO = 8
+AT_ONCE = 1 << 21  # shingles compared with one set at once
 _rng = np.random.default_rng(7)
 FLIP = _rng.integers(0, 2**63, HASHES, dtype=np.uint64)
 FACTOR = _rng.integers(0, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -122,67 +123,131 @@ def _forest(sim: np.ndarray, least: float) -> list[tuple[int, int]]:
     return out
 
 
-def _pairs_of(v, n, bits, root, side, threshold: float, most: int | None) -> list[tuple[bytes, bytes]]:
-    """Candidate pairs of one block (side all 0) or of two (sides 0 and 1). most: None: a spanning forest; 0: all;
-    else each member's best so many. Members of one component give no pair."""
-    least = threshold - MARGIN
-    if most is not None and len(set(root)) < 2:
-        return []
-    n, side = np.array(n), np.array(side)
+def _grouped(batches, keys: list[str], columns: list[str]):
+    """(key, rows) of each group of rows that lie together."""
+    held: list = []
+    group = None
+    for batch in batches:
+        lists = [batch.column(c).to_pylist() for c in (*keys, *columns)]
+        for row in zip(*lists, strict=True):
+            if row[: len(keys)] != group:
+                if held:
+                    yield group, held
+                held, group = [], row[: len(keys)]
+            held.append(row[len(keys) :])
+    if held:
+        yield group, held
+
+
+def _comparable(v, n, bits, threshold: float) -> np.ndarray:
+    """Estimates of all pairs, -1 where the sizes rule the similarity out."""
+    n = np.array(n)
     words = np.frombuffer(b"".join(bits), np.uint64).reshape(len(v), -1)
     sim = estimates(words, words)
     low, high = np.minimum(n[:, None], n[None, :]), np.maximum(n[:, None], n[None, :])
     sim[low < threshold * high - 1e-9] = -1
     np.fill_diagonal(sim, -1)
-    if side.any():
-        sim[side[:, None] == side[None, :]] = -1
-    if most is None:
-        chosen = _forest(sim, least)
-    else:
-        code = np.unique(np.array(root, object), return_inverse=True)[1]
-        sim[code[:, None] == code[None, :]] = -1
-        if most and len(v) > most:
-            floor = -np.partition(-sim, most - 1, axis=1)[:, most - 1 : most]
-            few = code != np.bincount(code).argmax()  # members of the largest component wait for the others to choose
-            keep = (sim >= np.maximum(floor, least)) & few[:, None]
-        else:
-            keep = sim >= least
-        chosen = list(zip(*np.nonzero(keep | keep.T), strict=True))
-        chosen = [(i, j) for i, j in chosen if i < j]
-    return [(min(v[i], v[j]), max(v[i], v[j])) for i, j in chosen]
+    return sim
 
 
-def _candidates(threshold: float, most: int | None):
-    """Candidate pairs of each (key, one, two), by which rows are sorted."""
+def _first_pairs(threshold: float):
+    """Edges of a spanning forest of each (key, block)."""
 
     def find(batches):
-        out: list = []
-        held: list = []
-        group = None
+        out: set = set()
+        for _, rows in _grouped(batches, ["key", "block"], ["v", "n", "bits"]):
+            v, n, bits = zip(*rows, strict=True)
+            out.update((min(v[i], v[j]), max(v[i], v[j])) for i, j in _forest(_comparable(v, n, bits, threshold), threshold - MARGIN))
+            if len(out) > 20_000:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*out, strict=True)], ["a", "b"])
+                out.clear()
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*out, strict=True)], ["a", "b"])
 
-        def flush():
-            a, b = zip(*set(out), strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+    return find
 
-        for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("key", "one", "two", "v", "n", "bits", "root", "side")]
-            for key, one, two, *row in zip(*columns, strict=True):
-                if group != (key, one, two):
-                    if len(held) > 1:
-                        out += _pairs_of(*zip(*held, strict=True), threshold, most)
-                    held, group = [], (key, one, two)
-                    if len(out) > 20_000:
-                        yield flush()
-                        out.clear()
-                held.append(tuple(row))
-        if len(held) > 1:
-            out += _pairs_of(*zip(*held, strict=True), threshold, most)
-        if out:
-            yield flush()
+
+GROUP = ["key", "one", "two"]
+
+
+def _last_candidates(threshold: float):
+    """For each group and member with candidates in it: its root, and for an outsider (side 1; side 2: another block of
+    outsiders) the candidates."""
+
+    def find(batches):
+        for group, rows in _grouped(batches, GROUP, ["v", "n", "bits", "bands", "root", "side"]):
+            v, n, bits, bands, root, side = zip(*rows, strict=True)
+            side, bands = np.array(side), np.array(bands, np.int64).view(np.uint64)
+            good = _comparable(v, n, bits, threshold) >= threshold - MARGIN
+            code = np.unique(np.array(root, object), return_inverse=True)[1]
+            good &= code[:, None] != code[None, :]
+            good[side != 1] = False  # rows are the outsiders' side
+            if group[1]:  # outsiders of one block meet in the first of its groups
+                good[:, side == 1] = False
+            key = np.uint64(group[0] % 2**64)
+            own = int(np.flatnonzero((bands == key).all(0))[0])  # the band of this bucket
+            i, j = np.nonzero(good)
+            for band in range(own):
+                other = bands[i, band] != bands[j, band]
+                i, j = i[other], j[other]
+            if not len(i):
+                continue
+            partners: dict = {int(x): [] for x in np.unique(np.concatenate([i, j]))}
+            for x, y in zip(i.tolist(), j.tolist(), strict=True):
+                partners[x].append(v[y])
+            data = [pa.array([g] * len(partners), pa.int64()) for g in group]
+            data += [pa.array([v[x] for x in partners], pa.binary()), pa.array([root[x] for x in partners], pa.binary()), pa.array(list(partners.values()), pa.list_(pa.binary()))]
+            yield pa.RecordBatch.from_arrays(data, [*GROUP, "v", "root", "others"])
 
     return find
 
 
+def _group_confirmer(size: int, lower: bool, percent: int):
+    """Links of each group's candidates, of those of one outsider and one component one at most."""
+
+    def sets_of(batches):
+        for batch in batches:
+            hashes = pa.array([s.tobytes() for _, w in words_of(batch.column("text"), SPACED, lower) for s in shingle_sets(w, size)], pa.large_binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*GROUP, "v", "root", "others")), hashes], [*GROUP, "v", "root", "others", "hashes"])
+
+    def confirm(batches):
+        for _, rows in _grouped(sets_of(batches), GROUP, ["v", "root", "others", "hashes"]):
+            sets = {v: np.frombuffer(h, np.uint64) for v, _, _, h in rows}
+            joined = {root: root for _, root, _, _ in rows}
+            roots = {v: root for v, root, _, _ in rows}
+
+            def find(x, joined=joined):
+                while joined[x] != x:
+                    x = joined[x] = joined[joined[x]]
+                return x
+
+            links = []
+            for v, _, others, _ in rows:
+                at = 0
+                while at < len(others):
+                    some, total = [], 0
+                    while at < len(others) and (not some or total + len(sets[others[at]]) <= AT_ONCE):
+                        if find(roots[others[at]]) != find(roots[v]):
+                            some.append(others[at])
+                            total += len(sets[others[at]])
+                        at += 1
+                    if not some:
+                        continue
+                    held, x = np.concatenate([sets[o] for o in some]), sets[v]
+                    sizes = np.array([len(sets[o]) for o in some])
+                    hits = x[np.minimum(np.searchsorted(x, held), len(x) - 1)] == held
+                    common = np.add.reduceat(hits.astype(np.int64), np.cumsum([0, *sizes[:-1]]))
+                    for o in np.flatnonzero(100 * common >= percent * (len(x) + sizes - common)):
+                        one, two = find(roots[v]), find(roots[some[o]])
+                        if one != two:
+                            joined[one] = two
+                            links.append((v, some[o]))
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*links, strict=True)], ["a", "b"])
+
+    return confirm
+
+
 def _confirmer(size: int, lower: bool, percent: int):
     """Keeps pairs of texts with 100 * intersection >= percent * union."""
 
@@ -200,12 +265,40 @@ def _confirmer(size: int, lower: bool, percent: int):
     return confirm
 
 
-def _blocks(members: DataFrame) -> DataFrame:
-    """Members (key, blocks, ...) dealt to blocks, once for each other block that theirs is compared with."""
-    own = F.pmod(F.xxhash64("v"), F.col("blocks"))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    rows = members.withColumn("own", own).withColumn("other", other)
-    return rows.select("*", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), (F.col("own") > F.col("other")).cast("int").alias("side"))
+def _first_links(members: DataFrame, texts: DataFrame, size: int, percent: int, lower: bool) -> DataFrame:
+    """Confirmed links (a, b) between members (key, v, n, bits, c) of buckets of c members."""
+    blocks = F.ceil(F.col("c") / BLOCK)
+    dealt = members.select("key", F.pmod(F.xxhash64("v"), blocks).alias("block"), "v", "n", "bits", blocks.alias("blocks"))
+    leads = dealt.where("blocks > 1").groupBy("key").agg(F.min_by(F.struct("block", "v", "n", "bits", "blocks"), "v").alias("l")).select("key", "l.*")
+    others = leads.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).where("other <> block")
+    dealt = dealt.drop("blocks").unionByName(others.select("key", F.col("other").alias("block"), "v", "n", "bits"))
+    dealt = dealt.repartition("key", "block").sortWithinPartitions("key", "block")
+    pairs = dealt.mapInArrow(_first_pairs(percent / 100), "a binary, b binary").distinct()
+    both = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(_confirmer(size, lower, percent), "a binary, b binary")
+
+
+def _last_links(members: DataFrame, roots: DataFrame, classes: DataFrame, texts: DataFrame, size: int, percent: int, lower: bool) -> DataFrame:
+    """Confirmed links between outsiders of buckets and members of other components."""
+    rooted = members.select("key", "v").join(roots, "v", "left").withColumn("root", F.coalesce("root", "v"))
+    counts = rooted.groupBy("key", "root").agg(F.count("*").alias("c"))
+    mixed = counts.groupBy("key").agg(F.max(F.struct("c", "root")).alias("most"), F.sum("c").alias("all")).where("most.c < all")
+    mixed = mixed.select("key", F.col("most.root").alias("most"), F.ceil(F.col("most.c") / BLOCK).alias("inner"), F.ceil((F.col("all") - F.col("most.c")) / BLOCK).alias("outer"))
+    dealt = rooted.join(mixed, "key").select("key", "v", "root", (F.col("root") != F.col("most")).alias("outsider"), "inner", "outer")
+    # Outsiders meet each block of the others, and each other: those of one block in the first of these groups.
+    mine = F.pmod(F.xxhash64("v"), F.when(F.col("outsider"), F.col("outer")).otherwise(F.col("inner")))
+    each = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    place = lambda one, two, side: F.struct(one.alias("one"), two.alias("two"), F.lit(side).alias("side") if isinstance(side, int) else side.alias("side"))
+    inside = F.transform(each("outer"), lambda o: place(F.col("mine"), o, 0))
+    outside = F.transform(each("inner"), lambda m: place(m, F.col("mine"), 1))
+    apart_ = F.transform(F.filter(each("outer"), lambda o: o != F.col("mine")), lambda o: place(-1 - F.least(o, F.col("mine")), F.greatest(o, F.col("mine")), F.when(F.col("mine") < o, 1).otherwise(2)))
+    dealt = dealt.withColumn("mine", mine)
+    dealt = dealt.withColumn("p", F.explode(F.when(F.col("outsider"), F.concat(outside, apart_)).otherwise(inside)))
+    dealt = dealt.select("key", "p.*", "v", "root").join(classes.select("v", "n", "bits", "bands"), "v")
+    dealt = dealt.repartition(*GROUP).sortWithinPartitions(*GROUP)
+    found = dealt.mapInArrow(_last_candidates(percent / 100), "key long, one long, two long, v binary, root binary, others array<binary>")
+    found = written(found, "candidates").join(texts, "v").repartition(*GROUP).sortWithinPartitions(*GROUP)
+    return found.mapInArrow(_group_confirmer(size, lower, percent), "a binary, b binary")
 
 
 def groups(docs: DataFrame, size: int = 5, percent: int = 80, lower: bool = True) -> DataFrame:
@@ -218,31 +311,13 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80, lower: bool = True
     classes = some.groupBy("v").agg(F.min(F.struct("_k", "_t")).alias("first"), F.min("n").alias("n"), F.min("bits").alias("bits"), F.min("bands").alias("bands"))
     classes = written(classes, "classes")
     in_bands = classes.select("v", F.explode("bands").alias("key"))
-    buckets = in_bands.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key", F.ceil(F.col("c") / BLOCK).alias("blocks"))
-    members = in_bands.join(buckets, "key").join(classes.select("v", "n", "bits"), "v")
-    members = written(members, "members")
+    buckets = in_bands.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+    members = written(in_bands.join(buckets, "key").join(classes.select("v", "n", "bits"), "v"), "members")
     near = members.select("v").distinct().join(classes.select("v", "first._k", "first._t"), "v")
     texts = written(rows.select("_k", "_t", "text").join(near, ["_k", "_t"]).dropDuplicates(["v"]).select("v", "text"), "texts")
-    links, tried, roots = None, None, None
-    for most in (None, ROUND_TWO, 0):
-        found = members.withColumn("root", F.col("v"))
-        if roots is not None:
-            found = members.join(roots, "v", "left").withColumn("root", F.coalesce("root", "v"))
-            mixed = found.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
-            found = found.join(mixed, "key", "left_semi")
-        dealt = _blocks(found).repartition("key", "one", "two").sortWithinPartitions("key", "one", "two")
-        dealt = dealt.select("key", "one", "two", "v", "n", "bits", "root", "side")
-        pairs = dealt.mapInArrow(_candidates(percent / 100, most), "a binary, b binary").distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        if roots is not None and pairs.isEmpty():
-            continue
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        both = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
-        good = written(both.select("a", "b", "text_a", "text_b").mapInArrow(_confirmer(size, lower, percent), "a binary, b binary"), "confirmed")
-        links = good if links is None else links.unionByName(good)
-        roots = written(components(links), "roots")
+    links = written(_first_links(members, texts, size, percent, lower), "links")
+    more = written(_last_links(members, written(components(links), "roots"), classes, texts, size, percent, lower), "links")
+    roots = written(components(links.unionByName(more)), "roots")
     joined = classes.select("v", "first").join(roots, "v", "left").withColumn("root", F.coalesce("root", "v"))
     firsts = joined.groupBy("root").agg(F.min("first").alias("first"))
     by_class = joined.drop("first").join(firsts, "root").select("v", "first")

@@ -161,7 +161,6 @@ def test_near_duplicates(spark, odd, docs_of, where, size):
 
 def test_near_duplicates_compared_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(near_duplicates, "BLOCK", 8)
-    monkeypatch.setattr(near_duplicates, "ROUND_TWO", 2)
     rng = np.random.default_rng(3)
     base = [f"w{i}" for i in range(40)]
     docs = []
