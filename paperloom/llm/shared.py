@@ -30,6 +30,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables of ``written``, once all that is read from them is written itself."""
+    for table in tables:
+        spark = table.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def apart(docs: DataFrame) -> DataFrame:
     """docs with all columns but doc_id and text renamed, so that no name of theirs can clash."""
     return docs.select(*(F.col(f"`{c}`").alias(_apart(i, c)) for i, c in enumerate(docs.columns)))

@@ -7,7 +7,6 @@ from collections import Counter
 from itertools import combinations
 
 import public_tokenizers
-import xxhash
 from tokenizers import Tokenizer
 
 SPACED = re.compile(r"[^\x20\x09-\x0D]+")
@@ -97,12 +96,6 @@ def near_duplicates(docs, size):
     return [(len(s), r) for s, r in zip(sets, roots, strict=True)]
 
 
-def simhash(line):
-    words = set(line.split(" "))
-    hashes = [xxhash.xxh64_intdigest(w.encode(), seed=42) for w in words]
-    return sum(1 << b for b in range(63) if 2 * sum(h >> b & 1 for h in hashes) > len(words))
-
-
 def edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -112,19 +105,28 @@ def edits(a, b):
     return row[-1]
 
 
-def deduped_lines(docs):
-    """docs in ascending order; (n_lines, n_removed, text) of each."""
-    norm = lambda line: re.sub(r"[ \t\n\x0b\f\r]+", " ", line).strip(" ").lower()
-    lines = [[norm(x) for x in (t or "").split("\n")] for _, t in docs]
+def normal_line(line):
+    return re.sub(r"[ \t\n\x0b\f\r]+", " ", line).strip(" ").lower()
+
+
+def similar_lines(lines):
+    """Pairs of different normalised lines of edit similarity 0.8, by comparing all."""
+    counts = [Counter(x) for x in lines]
+    for i, j in combinations(range(len(lines)), 2):
+        a, b = lines[i], lines[j]
+        most = int(max(len(a), len(b)) * (1 - 0.8) + 1e-9)
+        # An edit changes the counts of letters by two at most.
+        if abs(len(a) - len(b)) <= most and sum(abs(n) for n in (counts[i].total() and {c: counts[i][c] - counts[j][c] for c in counts[i] | counts[j]}).values()) <= 2 * most and edits(a, b) <= most:
+            yield a, b
+
+
+def deduped_lines(docs, links):
+    """docs in ascending order; (n_lines, n_removed, text) of each, with lines linked as given."""
+    lines = [[normal_line(x) for x in (t or "").split("\n")] for _, t in docs]
     order = list(dict.fromkeys(x for doc in lines for x in doc if x))
-    sims, links = [simhash(x) for x in order], []
-    for i, j in combinations(range(len(order)), 2):
-        if (sims[i] ^ sims[j]).bit_count() <= 3:
-            a, b = order[i], order[j]
-            most = int(max(len(a), len(b)) * (1 - 0.8) + 1e-9)
-            if abs(len(a) - len(b)) <= most and edits(a, b) <= most:
-                links.append((i, j))
-    group, seen = dict(zip(order, union_find(len(order), links), strict=True)), set()
+    place = {x: i for i, x in enumerate(order)}
+    roots = union_find(len(order), [(place[a], place[b]) for a, b in links])
+    group, seen = dict(zip(order, roots, strict=True)), set()
     for (_, text), doc in zip(docs, lines, strict=True):
         kept, removed = [], 0
         for raw, x in zip((text or "").split("\n"), doc, strict=True):

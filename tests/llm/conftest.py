@@ -81,3 +81,19 @@ def docs_of():
     return read
 
 
+
+
+@pytest.fixture(scope="session")
+def line_links():
+    """Pairs of lines that operator 6 puts into one group: each line with its group's first."""
+    from paperloom.llm import lines
+    from paperloom.llm.shared import keyed, written
+
+    def links(df):
+        distinct = written(lines.distinct_lines(keyed(df)), "lines")
+        groups: dict = {}
+        for r in distinct.join(lines.line_groups(distinct), ["h1", "h2"]).select("norm", "root").collect():
+            groups.setdefault(bytes(r.root), []).append(r.norm)
+        return [(g[0], x) for g in groups.values() for x in g[1:]]
+
+    return links

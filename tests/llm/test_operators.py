@@ -142,12 +142,39 @@ def test_quality_needs_no_labels(spark, empty):
 
 
 @pytest.mark.parametrize("where", ["sf", "odd"])
-def test_line_dedup(spark, odd, docs_of, where):
-    docs = [(d, t) for d, t in sorted(docs_of({"sf": SF, "odd": odd}[where])) if where == "odd" or d % 4 == 0]
-    docs = [(d, t) for d, t in docs if d != 43]  # its line is too long for the plain version
+def test_line_dedup_removes_what_is_linked(spark, odd, docs_of, line_links, where):
+    docs = sorted(docs_of({"sf": SF, "odd": odd}[where]))
     df = spark.createDataFrame(docs, "doc_id long, text string")
     got = rows(lines.dedup(df), ["doc_id", "n_lines", "n_removed", "text"])
-    assert got == sorted(((d, *x) for (d, _), x in zip(docs, brute.deduped_lines(docs), strict=True)), key=str)
+    assert got == sorted(((d, *x) for (d, _), x in zip(docs, brute.deduped_lines(docs, line_links(df)), strict=True)), key=str)
+
+
+def planted_lines():
+    """Lines, and variants of them with a word replaced, left out, put in or marked."""
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnoprstuvwz"), rng.integers(2, 11)))
+    out = []
+    for i in range(300):
+        w = [word() for _ in range(8 + i % 40)]
+        at = int(rng.integers(0, len(w)))
+        changed = [w[:at] + [word()] + w[at + 1 :], w[:at] + w[at + 1 :], w[:at] + [word()] + w[at:], w[:at] + [w[at] + "!!"] + w[at + 1 :]][i % 4]
+        out += [" ".join(w), " ".join(changed)]
+    return out
+
+
+@pytest.mark.parametrize("where", ["sf", "planted"])
+def test_line_dedup_links_nine_tenths_of_similar_lines_and_no_others(spark, docs_of, line_links, where):
+    docs = sorted(docs_of(SF)) if where == "sf" else list(enumerate(planted_lines()))
+    docs = [(d, "\n".join(x for x in (t or "").split("\n") if len(x) < 250)) for d, t in docs]  # for the plain version
+    order = list(dict.fromkeys(x for _, t in docs for x in map(brute.normal_line, t.split("\n")) if x))
+    pairs = [(order.index(a), order.index(b)) for a, b in brute.similar_lines(order)]
+    whole = brute.union_find(len(order), pairs)
+    found = [(order.index(a), order.index(b)) for a, b in line_links(spark.createDataFrame(docs, "doc_id long, text string"))]
+    assert all(whole[i] == whole[j] for i, j in found)
+    roots = brute.union_find(len(order), found)
+    share = sum(roots[i] == roots[j] for i, j in pairs) / len(pairs)
+    print("lines:", len(pairs), "pairs, recall", share)
+    assert share >= 0.9
 
 
 @pytest.mark.parametrize("size", [2, 5])
