@@ -9,8 +9,10 @@ Parts are compared in blocks of ROWS rows and QUERIES queries, so a part that ho
 tasks. The number of parts follows the number of rows, up to MOST_PARTS.
 
 Defined results: vectors that are null, zero, of another length than most, or hold null or non-finite components, and
-rows without vec_id, take no part; a query is not its own neighbour, nor are rows of its vec_id; with fewer candidates
-than asked for, all found are returned; ties go to the smaller vec_id.
+rows without vec_id, take no part; a query is not its own neighbour, nor are rows of its vec_id; ties go to the smaller
+vec_id. Rows that repeat both vec_id and vector count once; if a vec_id has several vectors, each of them is a candidate
+and a query, and the vec_id is listed once with its best score. A query probes further parts, in the order of the
+network, until these hold more than POOL * k vec_ids or no part is left.
 """
 
 import numpy as np
@@ -24,6 +26,7 @@ SAMPLE = 4096
 TARGET = 0.93
 MOST_PARTS = 256
 ROWS, QUERIES = 4096, 1024
+POOL = 8  # times k vec_ids are in the probed parts at least
 GRAPH = 12  # neighbours of a vertex
 
 
@@ -150,8 +153,9 @@ def _graph(x: np.ndarray, k: int, block: int = 512) -> np.ndarray:
     return np.concatenate(out)
 
 
-def _dealer(shared, n_probes: int):
-    """(part, vec_id, v) for the n_probes most probable parts of each vector of the router's length."""
+def _dealer(shared, n_probes: int, held: list[int] | None = None, k: int = 0):
+    """(part, vec_id, v) for the n_probes most probable parts of each vector of the router's length, and the next ones
+    until these hold more than POOL * k vec_ids; held: how many each part has."""
 
     def deal(batches):
         router = shared.value
@@ -162,30 +166,41 @@ def _dealer(shared, n_probes: int):
                 continue
             taken = lists.take(pa.array(right))
             x = taken.flatten().to_numpy(zero_copy_only=False).reshape(-1, router.dim)
-            top = np.argsort(-router.logits(x), axis=1, kind="stable")[:, :n_probes]
+            order = np.argsort(-router.logits(x), axis=1, kind="stable")
+            n = np.full(len(x), min(n_probes, router.n_parts))
+            if held is not None:
+                n = np.minimum(np.maximum(n, (np.cumsum(np.array(held)[order], axis=1) < POOL * k + 1).sum(1) + 1), router.n_parts)
+            top = order[np.arange(router.n_parts)[None, :] < n[:, None]]
             ids = batch.column("vec_id").to_numpy(zero_copy_only=False)[right]
-            rows = np.repeat(np.arange(len(x)), top.shape[1])
+            rows = np.repeat(np.arange(len(x)), n)
             raw = [a.tobytes() for a in x]
-            data = [pa.array(top.ravel().astype(np.int32)), pa.array(ids[rows]), pa.array([raw[r] for r in rows], pa.binary())]
+            data = [pa.array(top.astype(np.int32)), pa.array(ids[rows]), pa.array([raw[r] for r in rows], pa.binary())]
             yield pa.RecordBatch.from_arrays(data, ["part", "vec_id", "v"])
 
     return deal
 
 
 def _best(queries: list, rows: list, k: int):
-    """The k best rows of each query, among these."""
+    """The k best vec_ids among rows for each query; repeated queries and rows count once."""
+    queries, rows = list(dict.fromkeys(queries)), sorted(set(rows))
     q_ids, r_ids = np.array([q[0] for q in queries]), np.array([r[0] for r in rows])
     q = np.frombuffer(b"".join(x[1] for x in queries)).reshape(len(queries), -1)
     r = np.frombuffer(b"".join(x[1] for x in rows)).reshape(len(rows), -1)
     sim = q @ r.T
     sim[q_ids[:, None] == r_ids[None, :]] = -np.inf
-    floor = -np.partition(-sim, min(k, len(rows)) - 1, axis=1)[:, min(k, len(rows)) - 1]
+    ids, first, code = np.unique(r_ids, return_index=True, return_inverse=True)
+    most = np.maximum.reduceat(sim, first, axis=1)  # a vec_id's best vector
+    floor = -np.partition(-most, min(k, len(ids)) - 1, axis=1)[:, min(k, len(ids)) - 1]
     for i in range(len(queries)):
-        near = np.flatnonzero((sim[i] >= floor[i] - 1e-9 * abs(floor[i])) & (sim[i] > -np.inf))
+        near = (most[i] >= floor[i] - 1e-9 * abs(floor[i])) & (most[i] > -np.inf)
+        near = np.flatnonzero(near[code])
         exact = (r[near] * q[i]).sum(1)  # each row is summed alike, so equal vectors tie
-        order = np.lexsort((r_ids[near], -exact))[:k]
-        for j in order:
-            yield int(q_ids[i]), int(r_ids[near[j]]), float(exact[j])
+        found: dict = {}
+        for j in np.lexsort((r_ids[near], -exact)):
+            if len(found) < k:
+                found.setdefault(int(r_ids[near[j]]), float(exact[j]))
+        for vec_id, score in found.items():
+            yield int(q_ids[i]), vec_id, score
 
 
 def _searcher(k: int):
@@ -236,7 +251,10 @@ def search(base: DataFrame, queries: DataFrame, k: int = 20, sample: int = SAMPL
     shared = spark.sparkContext.broadcast(router)
     dealt = "part int, vec_id long, v binary"
     rows = written(base.mapInArrow(_dealer(shared, 1), dealt), "vectors")
-    probes = queries.mapInArrow(_dealer(shared, router.probes), dealt)
+    held = [0] * router.n_parts
+    for r in rows.groupBy("part").agg(F.count_distinct("vec_id").alias("n")).collect():  # a row a part
+        held[r.part] = r.n
+    probes = queries.mapInArrow(_dealer(shared, router.probes, held, k), dealt)
     probes = written(probes, "probes")
     row_blocks = rows.groupBy("part").agg(F.ceil(F.count("*") / ROWS).alias("n_rb"))
     query_blocks = probes.groupBy("part").agg(F.ceil(F.count("*") / QUERIES).alias("n_qb"))
@@ -248,6 +266,7 @@ def search(base: DataFrame, queries: DataFrame, k: int = 20, sample: int = SAMPL
     both = r.unionByName(q).repartition("part", "rb", "qb").sortWithinPartitions("part", "rb", "qb")
     found = both.mapInArrow(_searcher(k), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

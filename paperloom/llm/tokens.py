@@ -24,8 +24,8 @@ _encoders: dict[str, "Encoder"] = {}
 
 
 class Encoder:
-    """Encodes whole texts. Equal to ``Tokenizer.encode(text, add_special_tokens=False).ids`` with
-    ``encode_special_tokens`` set, for byte-level tokenizers that cut words at spaces.
+    """Encodes whole texts. Equal to ``Tokenizer.encode(text, add_special_tokens=False).ids`` for byte-level tokenizers
+    that cut words at spaces. Texts with an added token of the vocabulary are encoded whole by the library.
 
     A piece that is one word of Latin letters, or such a word and one mark, goes straight to the library's BPE model;
     all others go through the library's whole path. A probe at the start turns the short way off where the two differ.
@@ -36,7 +36,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(re.escape(t) for t in sorted(added, key=len, reverse=True)) or r"(?!)", re.IGNORECASE)
         self.model = self.tokenizer.model
         self.width = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = "H" if self.width.itemsize == 2 else "I"
@@ -107,7 +108,7 @@ class Encoder:
         out: list[bytes] = [b""] * len(texts)
         cut, whole = [], []
         for i, text in enumerate(texts):
-            if text and UNSAFE.search(text):
+            if text and (UNSAFE.search(text) or self.added.search(text)):
                 whole.append(i)
             elif text:
                 cut.append((i, text.split(" ")))

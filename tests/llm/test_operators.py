@@ -72,7 +72,7 @@ def test_perfect_hash_is_minimal():
 def test_short_ways_of_the_encoder(name):
     import public_tokenizers
 
-    texts = ["", " ", "a", " a", "a  b", "a \n b", "\n\na", "Don't stop. it's 12,345!", "naïve café", "ß İ ǅ", "日本語 テキスト", "<|endoftext|>x", "tab\tx  ", "end.\nNext;\n\nline", " x   y", "é́ a", "ÀÉÎ õ", "a" * 100, "x\r\ny", "ª º µ"]
+    texts = ["", " ", "a", " a", "a  b", "a \n b", "\n\na", "Don't stop. it's 12,345!", "naïve café", "ß İ ǅ", "日本語 テキスト", "<|endoftext|>x", "one <|endoftext|> two", "a<|startoftext|>  b <|ENDOFTEXT|>", "tab\tx  ", "end.\nNext;\n\nline", " x   y", "é́ a", "ÀÉÎ õ", "a" * 100, "x\r\ny", "ª º µ"]
     plain, fast = brute.encoder(name), tokens.Encoder(public_tokenizers.path(name))
     for _ in range(2):
         got = [np.frombuffer(x, fast.width).tolist() for x in fast.encode(texts)]
@@ -122,6 +122,26 @@ def test_neighbours_of_few_and_odd_vectors(spark, odd, repeated):
     assert rows(neighbours.search(base, base.where("vec_id = 20")), ["query_id", "rank", "vec_id", "score"]) == [(20, 1, 1, 3.0), (20, 2, 2, 3.0)]
 
 
+def test_neighbours_of_repeated_rows_and_few_candidates(spark):
+    rng = np.random.default_rng(8)
+    made = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(100)]
+    made += [made[20]] * 4 + [made[33]] * 30 + [(35, [9.0, 9.0, 9.0, 9.0])]
+    few = [m for m in made if m[0] < 15] + [made[0]] * 5
+    for table, n in ((made, 20), (few, 14)):
+        base = neighbours.vectors(spark.createDataFrame(table, "vec_id long, embedding array<double>"))
+        got = neighbours.search(base, base.where("vec_id % 20 = 0"), 20).toPandas()
+        for q in {v for v, _ in table if v % 20 == 0}:
+            best: dict = {}
+            for v, x in table:
+                if v != q:
+                    best[v] = max(best.get(v, -np.inf), float(np.dot(x, dict(table)[q])))
+            mine = got[got.query_id == q].sort_values("rank")
+            assert list(mine["rank"]) == list(range(1, n + 1))
+            assert len({*mine.vec_id}) == n
+            assert np.allclose(mine.score, [best[v] for v in mine.vec_id])
+            assert len({*mine.vec_id} & {*sorted(best, key=lambda v: (-best[v], v))[:n]}) >= 0.9 * n
+
+
 def test_quality_on_rows_not_learned_from(spark):
     sf = "/root/testdata/sf0.1"
     out = QUERIES["op5_quality"](spark, sf)
