@@ -96,12 +96,22 @@ def near_duplicates(docs, size):
 
 
 def edits(a, b):
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return row[-1]
+    """Edit distance by bit vectors (Myers, 1999): a column of the table is two integers."""
+    if not a or not b:
+        return len(a) + len(b)
+    places: dict = {}
+    for i, c in enumerate(a):
+        places[c] = places.get(c, 0) | 1 << i
+    full, last, distance = (1 << len(a)) - 1, 1 << (len(a) - 1), len(a)
+    up, down = full, 0
+    for c in b:
+        same = places.get(c, 0)
+        diagonal = (((same & up) + up) ^ up) | same | down
+        grown, shrunk = down | ~(diagonal | up) & full, up & diagonal
+        distance += bool(grown & last) - bool(shrunk & last)
+        grown, shrunk = (grown << 1 | 1) & full, shrunk << 1 & full
+        up, down = shrunk | ~(same | down | grown) & full, grown & (same | down)
+    return distance
 
 
 def normal_line(line):
@@ -110,12 +120,9 @@ def normal_line(line):
 
 def similar_lines(lines):
     """Pairs of different normalised lines of edit similarity 0.8, by comparing all."""
-    counts = [Counter(x) for x in lines]
-    for i, j in combinations(range(len(lines)), 2):
-        a, b = lines[i], lines[j]
+    for a, b in combinations(lines, 2):
         most = int(max(len(a), len(b)) * (1 - 0.8) + 1e-9)
-        # An edit changes the counts of letters by two at most.
-        if abs(len(a) - len(b)) <= most and sum(abs(n) for n in (counts[i].total() and {c: counts[i][c] - counts[j][c] for c in counts[i] | counts[j]}).values()) <= 2 * most and edits(a, b) <= most:
+        if abs(len(a) - len(b)) <= most and edits(a, b) <= most:
             yield a, b
 
 

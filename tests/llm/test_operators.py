@@ -174,8 +174,8 @@ def planted_lines():
     rng = np.random.default_rng(5)
     word = lambda: "".join(rng.choice(list("abcdefghijklmnoprstuvwz"), rng.integers(2, 11)))
     out = []
-    for i in range(300):
-        w = [word() for _ in range(8 + i % 40)]
+    for i in range(120):
+        w = [word() for _ in range(8 + i % 24)]
         at = int(rng.integers(0, len(w)))
         changed = [w[:at] + [word()] + w[at + 1 :], w[:at] + w[at + 1 :], w[:at] + [word()] + w[at:], w[:at] + [w[at] + "!!"] + w[at + 1 :]][i % 4]
         out += [" ".join(w), " ".join(changed)]
@@ -185,7 +185,7 @@ def planted_lines():
 @pytest.mark.parametrize("where", ["sf", "planted"])
 def test_line_dedup_links_nine_tenths_of_similar_lines_and_no_others(spark, docs_of, line_links, where):
     docs = sorted(docs_of(SF)) if where == "sf" else list(enumerate(planted_lines()))
-    docs = [(d, "\n".join(x for x in (t or "").split("\n") if len(x) < 250)) for d, t in docs]  # for the plain version
+    docs = [(d, "\n".join(x for x in (t or "").split("\n") if len(x) < 150)) for d, t in docs]  # for the plain version
     order = list(dict.fromkeys(x for _, t in docs for x in map(brute.normal_line, t.split("\n")) if x))
     pairs = [(order.index(a), order.index(b)) for a, b in brute.similar_lines(order)]
     whole = brute.union_find(len(order), pairs)
