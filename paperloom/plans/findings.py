@@ -225,20 +225,20 @@ def penalties(spark, d):
     return i.penalties(calls.select(F.col("user_id").alias("run_id"), kind.alias("error_type"), F.lit(1).cast("long").alias("n")))
 
 
-@query("j18_unknown_documents", "select doc_id, quality from labels where doc_id % 7 = 0 and not exists (select 1 from documents d where d.doc_id = labels.doc_id and d.lang = 'en')")
+@query("j18_unknown_documents", "select doc_id, quality from labels where not exists (select 1 from documents d where d.doc_id = labels.doc_id and d.lang = 'en')")
 def unknown_documents(spark, d):
-    cited = v.table(spark, d, "labels").where("doc_id % 7 = 0").select("doc_id", "quality")
+    cited = v.table(spark, d, "labels").select("doc_id", "quality")
     return i.unknown_ids(cited, docs(spark, d).where("lang = 'en'"), "doc_id")
 
 
 @query(
     "j20_files_present",
-    """with e as (select p_partkey name, p_size > 25 critical from part where p_partkey % 3 = 0), p as (select distinct l_partkey name from lineitem where l_suppkey % 5 = 0)
+    """with e as (select p_partkey name, p_size > 25 critical from part where p_size <= 30), p as (select distinct l_partkey name from lineitem where l_returnflag = 'R')
 select coalesce(e.name, p.name) name, case when e.name is null then 'extra' when p.name is null then 'missing' else 'present' end status, case when e.name is not null and p.name is null then case when critical then 'ERROR' else 'WARNING' end end severity from e full join p on e.name = p.name""",
 )
 def files_present(spark, d):
-    expected = v.table(spark, d, "part").where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("name"), (F.col("p_size") > 25).alias("critical"))
-    return i.files_present(expected, v.table(spark, d, "lineitem").where("l_suppkey % 5 = 0").select(F.col("l_partkey").alias("name")))
+    expected = v.table(spark, d, "part").where("p_size <= 30").select(F.col("p_partkey").alias("name"), (F.col("p_size") > 25).alias("critical"))
+    return i.files_present(expected, v.table(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_partkey").alias("name")))
 
 
 @query("a34_count_mismatches", """select o_orderkey run_id, reported, actual from (select o_orderkey, o_orderkey % 8 reported from orders) join (select l_orderkey, count(*) actual from lineitem group by 1) on o_orderkey = l_orderkey where abs(reported - actual) > 5""")
