@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from paperloom.llm.shared import written
+from paperloom.llm.shared import dropped, written
 
 
 def _star(links: DataFrame, least: DataFrame, larger: bool) -> DataFrame:
@@ -33,5 +33,7 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         own = least.select("u", F.col("m").alias("v"))
         small = _star(large, least, False).where("u > v").unionByName(own).distinct()
+        last = pairs
         pairs, state = _counted(small)
+        dropped(last)
     return pairs.select(F.col("u").alias("v"), F.col("v").alias("root")).unionByName(pairs.select(F.col("v"), F.col("v").alias("root")).distinct())

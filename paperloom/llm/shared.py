@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 NULL_ID = -(2**63)  # stands for a null doc_id in join keys
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -23,10 +24,16 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Cuts lineage: writes df as Parquet to the shared folder and reads it back."""
+    """Cuts lineage: writes df as Parquet to the shared folder and reads it back. The write's shuffle files go when it has
+    ended, not when the driver's memory is next collected; nothing else reads them, as a write has a plan of its own."""
     spark = df.sparkSession
     path = new_folder(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
