@@ -1,6 +1,6 @@
 """Queries of the numbered operators."""
 
-from paperloom.llm import decontaminate, language, length_histogram, lines, near_duplicates, neighbours, packing, quality, substrings, token_files
+from paperloom.llm import alignment, decontaminate, language, length_histogram, lines, near_duplicates, neighbours, packing, quality, substrings, token_files
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op8_packing": packing.query,
         "op9_length_histogram": length_histogram.query,
         "op10_language": language.query,
+        "op11_alignment": alignment.query,
     }
 
 

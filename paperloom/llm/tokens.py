@@ -29,14 +29,16 @@ class Encoder:
 
     A piece that is one word of Latin letters, or such a word and one mark, goes straight to the library's BPE model;
     all others go through the library's whole path. A probe at the start turns the short way off where the two differ.
+    With ``plain``, added tokens' strings are ordinary text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.tokenizer.encode_special_tokens = plain
+        added = [] if plain else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(re.escape(t) for t in sorted(added, key=len, reverse=True)) or r"(?!)", re.IGNORECASE)
         self.model = self.tokenizer.model
         self.width = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
