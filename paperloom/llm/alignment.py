@@ -26,11 +26,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm.shared import dropped, written
-from paperloom.llm.tokens import KEPT, LONGEST, Encoder
+from paperloom.llm.shared import written
+from paperloom.llm.tokens import LONGEST, Encoder
 
-BYTES = 1 << 21  # of text laid end to end at once
-SLICE = 1 << 21  # pairs expanded at once
+BYTES = 1 << 19  # of text laid end to end at once
+KEPT = 200_000  # remembered stretches of text in a worker, for each vocabulary
+SLICE = 1 << 20  # pairs expanded at once
 HOT = 1 << 19  # pairs that are broadcast
 SPACE = "▁"  # B's space
 
@@ -59,7 +60,7 @@ class ByteLevel:
     """Vocabulary A."""
 
     def __init__(self, path: str):
-        self.encoder = Encoder(path, plain=True)
+        self.encoder = Encoder(path, plain=True, kept=KEPT)
         shown = [b if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b else None for b in range(256)]
         free = itertools.count(256)
         byte = {chr(next(free) if c is None else c): b for b, c in enumerate(shown)}
@@ -239,7 +240,7 @@ def _aligner(path_a: str, path_b: str, with_groups: bool):
                     for a, b, n in x.links(d) if head[3] else [(none, none, none)]:
                         rows.append([row, *head, a, b, n])
                         head, held = [None] * len(head), held + len(a)
-                        if held >= SLICE:
+                        if held >= SLICE // 4:
                             yield batch_of(rows)
                             rows, held = [], 0
             if rows:

@@ -32,7 +32,7 @@ class Encoder:
     With ``plain``, added tokens' strings are ordinary text.
     """
 
-    def __init__(self, path: str, plain: bool = False):
+    def __init__(self, path: str, plain: bool = False, kept: int = KEPT):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -40,7 +40,7 @@ class Encoder:
         self.tokenizer.encode_special_tokens = plain
         added = [] if plain else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(re.escape(t) for t in sorted(added, key=len, reverse=True)) or r"(?!)", re.IGNORECASE)
-        self.model = self.tokenizer.model
+        self.model, self.most_kept = self.tokenizer.model, kept
         self.width = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = "H" if self.width.itemsize == 2 else "I"
         self.folds = self.tokenizer.normalizer is not None  # lower case; white space has no ids
@@ -101,7 +101,7 @@ class Encoder:
             else:
                 found[x] = ids
         found.update(zip(rest, self._encode([lead + x for x in rest]), strict=True))
-        full = len(kept) >= KEPT
+        full = len(kept) >= self.most_kept
         kept.update(found)
         return [x for x in found if full or len(x) > LONGEST]
 
