@@ -1,6 +1,6 @@
 """Queries of the numbered operators."""
 
-from paperloom.llm import alignment, decontaminate, language, length_histogram, lines, near_duplicates, neighbours, packing, quality, substrings, token_files
+from paperloom.llm import alignment, decontaminate, language, length_histogram, lines, near_duplicates, neighbours, packing, quality, substrings, token_files, url_filter
 
 
 def queries() -> dict:
@@ -16,6 +16,7 @@ def queries() -> dict:
         "op9_length_histogram": length_histogram.query,
         "op10_language": language.query,
         "op11_alignment": alignment.query,
+        "op12_url_filter": url_filter.query,
     }
 
 
@@ -23,4 +24,5 @@ def oracle_sql() -> dict:
     return {
         "op3_substring_dedup": substrings.SQL,
         "op4_decontaminate": decontaminate.SQL,
+        "op12_url_filter": url_filter.SQL,
     }

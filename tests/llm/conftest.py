@@ -23,6 +23,8 @@ def documents(rows):
 
 
 def write(folder, docs, items, labels, vectors):
+    urls = [d and f"http://x{d % 3}.example.net/en/{d}" for d, _ in docs]
+    pq.write_table(pa.table({"page_id": pa.array([d for d, _ in docs], pa.int64()), "url": pa.array(urls, pa.string()), "host": pa.array([None] * len(docs), pa.string())}), folder / "pages.parquet")
     pq.write_table(documents(docs), folder / "documents.parquet")
     pq.write_table(pa.table({"item_id": pa.array([i for i, _ in items], pa.string()), "text": pa.array([t for _, t in items], pa.string()), "block": pa.array([1] * len(items), pa.int64())}), folder / "benchmark.parquet")
     pq.write_table(pa.table({"doc_id": pa.array([x[0] for x in labels], pa.int64()), "quality": pa.array([x[1] for x in labels], pa.int32()), "text": pa.array([None] * len(labels), pa.string())}), folder / "labels.parquet")
