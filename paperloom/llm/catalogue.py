@@ -1,6 +1,6 @@
 """Queries of the numbered operators."""
 
-from paperloom.llm import alignment, decontaminate, language, length_histogram, lines, near_duplicates, neighbours, packing, quality, substrings, token_files, url_filter
+from paperloom.llm import alignment, decontaminate, hard_negatives, language, length_histogram, lines, near_duplicates, neighbours, packing, quality, substrings, token_files, url_filter
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op10_language": language.query,
         "op11_alignment": alignment.query,
         "op12_url_filter": url_filter.query,
+        "op13_hard_negatives": hard_negatives.query,
     }
 
 

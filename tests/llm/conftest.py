@@ -28,7 +28,7 @@ def write(folder, docs, items, labels, vectors):
     pq.write_table(documents(docs), folder / "documents.parquet")
     pq.write_table(pa.table({"item_id": pa.array([i for i, _ in items], pa.string()), "text": pa.array([t for _, t in items], pa.string()), "block": pa.array([1] * len(items), pa.int64())}), folder / "benchmark.parquet")
     pq.write_table(pa.table({"doc_id": pa.array([x[0] for x in labels], pa.int64()), "quality": pa.array([x[1] for x in labels], pa.int32()), "text": pa.array([None] * len(labels), pa.string())}), folder / "labels.parquet")
-    pq.write_table(pa.table({"vec_id": pa.array([x[0] for x in vectors], pa.int64()), "embedding": pa.array([x[1] for x in vectors], pa.list_(pa.float32())), "v": pa.array([None] * len(vectors), pa.date32())}), folder / "embeddings.parquet")
+    pq.write_table(pa.table({"vec_id": pa.array([x[0] for x in vectors], pa.int64()), "embedding": pa.array([x[1] for x in vectors], pa.list_(pa.float32())), "label": pa.array([x[0] and x[0] % 3 for x in vectors], pa.int64()), "v": pa.array([None] * len(vectors), pa.date32())}), folder / "embeddings.parquet")
     return str(folder)
 
 
