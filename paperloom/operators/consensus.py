@@ -101,21 +101,28 @@ def citation_scores(checked: DataFrame) -> DataFrame:
     return checked.groupBy("auditor_id").agg(F.count("*").alias("total"), valid.alias("valid"), F.when(F.count("*") == 0, F.lit(1.0)).otherwise(ratio(valid, F.count("*"))).alias("score"))
 
 
+def folded(text: Column) -> Column:
+    """Lower case of the same length, so that places in it are places in the text."""
+    return F.lower(F.translate(text, "\u0130", "i"))
+
+
 def occurrences(text: Column, excerpt: Column) -> Column:
-    """Places of an excerpt in a text without regard to case, overlapping ones too."""
-    return F.size(F.split(F.lower(text), F.concat(F.lit(r"(?=\Q"), F.lower(excerpt), F.lit(r"\E)")), -1)) - F.when(F.lower(text).startswith(F.lower(excerpt)), 0).otherwise(1)
+    """Places of an excerpt in a text without regard to case, overlapping ones too; none of an empty excerpt."""
+    inside, x = folded(text), folded(excerpt)
+    n = F.size(F.split(inside, F.concat(F.lit(r"(?=\Q"), x, F.lit(r"\E)")), -1)) - F.when(inside.startswith(x), 0).otherwise(1)
+    return F.when(F.length(x) > 0, n).otherwise(0)
 
 
 def _tokens(text: Column) -> Column:
-    return F.split(F.lower(text), r"\s+")
+    return F.split(folded(text), r"\s+")
 
 
 def _pairs(docs: DataFrame, excerpts: DataFrame) -> DataFrame:
     """(doc_id, text, item_id, excerpt) of all documents that hold an excerpt, without regard to case. Words inside an
     excerpt are whole words of the document, so both sides meet on the longest of them. An excerpt of one or two words
-    meets, by its longest word's first three characters, all words of the documents that hold that word. What has no
-    word at all is compared with all documents."""
-    wanted = excerpts.where("excerpt is not null").select("excerpt").distinct()
+    meets, by its longest word's first three characters, all words of the documents that hold that word. Blank excerpts
+    lie nowhere."""
+    wanted = excerpts.where(F.col("excerpt").rlike(r"\S")).select("excerpt").distinct()
     longest = lambda x: F.array_max(F.transform(x, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
     inner = longest(F.filter(_tokens(F.col("excerpt")), lambda w, at: (at > 0) & (at < F.size(_tokens(F.col("excerpt"))) - 1)))
     wanted = wanted.select("excerpt", inner.alias("inner"), longest(_tokens(F.col("excerpt"))).alias("outer"))
@@ -125,16 +132,14 @@ def _pairs(docs: DataFrame, excerpts: DataFrame) -> DataFrame:
     grams = F.concat(*[grams_of(F.col("word"), n) for n in (1, 2, 3)])
     held = words.select("word").distinct().select("word", F.explode(grams).alias("gram")).join(short, "gram").where(F.col("word").contains(F.col("outer")))
     met = words.join(whole.unionByName(held.select("excerpt", "word")), "word").select(F.col("doc_id").alias("d"), "excerpt").distinct()
-    has = F.lower("text").contains(F.lower("excerpt"))
+    has = folded(F.col("text")).contains(folded(F.col("excerpt")))
     pairs = met.join(docs, F.col("d").eqNullSafe(F.col("doc_id"))).where(has).select("doc_id", "text", "excerpt")
-    wordless = wanted.where("outer = ''").select("excerpt")
-    pairs = pairs.unionByName(docs.select("doc_id", "text").join(wordless, has))
     return pairs.join(excerpts.select("item_id", "excerpt"), "excerpt")
 
 
 def locate(docs: DataFrame, excerpts: DataFrame) -> DataFrame:
     """The first exact occurrence of each excerpt (item_id, excerpt) in each document that has it."""
-    start = F.instr(F.lower("text"), F.lower("excerpt")) - 1
+    start = F.instr(folded(F.col("text")), folded(F.col("excerpt"))) - 1
     return _pairs(docs, excerpts).select("doc_id", "item_id", start.cast("long").alias("start"), (start + F.length("excerpt")).cast("long").alias("end"))
 
 
@@ -156,7 +161,7 @@ def _starts(text: Column, excerpt: Column) -> Column:
 def all_places(docs: DataFrame, excerpts: DataFrame) -> DataFrame:
     """Every exact occurrence of excerpts (item_id, excerpt) in documents, overlapping ones too, with the number of
     occurrences of the excerpt in the document."""
-    found = _pairs(docs, excerpts).withColumn("starts", _starts(F.lower("text"), F.lower("excerpt")))
+    found = _pairs(docs, excerpts).withColumn("starts", _starts(folded(F.col("text")), folded(F.col("excerpt"))))
     out = found.select("doc_id", "item_id", F.size("starts").cast("long").alias("n"), F.length("excerpt").alias("size"), F.explode("starts").alias("start"))
     return out.select("doc_id", "item_id", "start", (F.col("start") + F.col("size")).alias("end"), "n")
 
