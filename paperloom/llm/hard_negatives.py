@@ -35,7 +35,8 @@ from paperloom.llm.shared import new_folder, written
 
 SCALE = 256
 SAMPLE = 4096  # rows of which the top of the tree is made
-ROWS = 1024  # of a block
+ROWS = 2048  # of a block
+TOGETHER = 128  # anchors that search a block at once
 BUCKET = 64
 MOST_LEAVES = 256
 ANY = 2**62  # beyond any score
@@ -48,11 +49,11 @@ def limit(dim: int) -> int:
     return 1 << int((62 - np.log2(max(dim, 1))) // 2)
 
 
-def inner(x: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Exact products of integer rows x with integer q, by floats where these are exact."""
-    if float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0)) * x.shape[1] < 2**53:
-        return (x.astype(np.float64) @ q.astype(np.float64)).astype(np.int64)
-    return x @ q
+def inner(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Exact products of integer rows a with integer rows b, by floats where these are exact."""
+    if float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1] < 2**53:
+        return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
+    return a @ b.T
 
 
 def matrix(vectors) -> np.ndarray:
@@ -79,10 +80,10 @@ class Space:
         square = (a * a).sum(1)[:, None] + (b * b).sum(1) - 2 * (a @ b.T)
         return np.sqrt(np.maximum(square, 0))
 
-    def radius(self, anchor: np.ndarray, score: float) -> float:
-        """How far from the anchor rows of this score are."""
-        q = anchor.astype(np.float64)
-        return float(np.sqrt(max(0.0, (q * q).sum() + self.square - 2 * float(score))))
+    def radius(self, anchors: np.ndarray, scores: np.ndarray) -> np.ndarray:
+        """How far from the anchors rows of these scores are."""
+        q = anchors.astype(np.float64)
+        return np.sqrt(np.maximum((q * q).sum(1) + self.square - 2 * np.asarray(scores, np.float64), 0))
 
 
 def split(points: np.ndarray, n_leaves: int) -> tuple[list[tuple[int, float]], np.ndarray]:
@@ -142,11 +143,6 @@ class Top:
         return low, high
 
 
-def best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k highest scores, ties by smaller id."""
-    return np.lexsort((ids, -scores))[:k]
-
-
 def _router(top, k: int, same: bool):
     """Shrinks each window to what the sample leaves open, and sends the anchor to the leaves it may reach."""
 
@@ -156,19 +152,21 @@ def _router(top, k: int, same: bool):
             out = []
             anchors = matrix(frame["v"])
             low, high = t.reach(anchors) if len(frame) else (None, None)
+            scores = inner(anchors, t.x) if len(frame) else None
             for i, r in enumerate(frame.itertuples(index=False)):
-                scores = inner(t.x, anchors[i])
-                mine = ((t.labels == r.label) == same) & (t.ids != r.anchor_id)
-                least, touched = np.array(r.low, np.int64), []
+                mine = scores[i][((t.labels == r.label) == same) & (t.ids != r.anchor_id)]
+                least, most = np.array(r.low, np.int64), np.array(r.high, np.int64)
                 for w in range(len(least)):
-                    inside = mine & (scores >= least[w]) & (scores <= r.high[w])
-                    if inside.sum() >= k:
-                        least[w] = np.partition(scores[inside], -k)[-k]
-                    outer, nearest = t.space.radius(anchors[i], least[w]), t.space.radius(anchors[i], r.high[w])
-                    touched.append((low[i] <= outer + t.space.slack) & (high[i] >= nearest - t.space.slack))
-                for leaf in np.flatnonzero(np.any(touched, 0)):
-                    w = np.flatnonzero([x[leaf] for x in touched])
-                    out.append((int(leaf), r.anchor_id, r.label, r.v, np.array(r.keys)[w], least[w], np.array(r.high)[w]))
+                    inside = mine[(mine >= least[w]) & (mine <= most[w])]
+                    if len(inside) >= k:
+                        least[w] = np.partition(inside, -k)[-k]
+                same_anchor = np.repeat(anchors[i : i + 1], len(least), 0)
+                outer, nearest = t.space.radius(same_anchor, least), t.space.radius(same_anchor, most)
+                touched = (low[i] <= outer[:, None] + t.space.slack) & (high[i] >= nearest[:, None] - t.space.slack)
+                keys = np.array(r.keys, np.int64)
+                for leaf in np.flatnonzero(touched.any(0)).tolist():
+                    w = touched[:, leaf]
+                    out.append((leaf, r.anchor_id, r.label, r.v, keys[w], least[w], most[w]))
             yield pd.DataFrame(out, columns=["leaf", "anchor_id", "label", "v", "keys", "low", "high"])
 
     return route
@@ -206,40 +204,61 @@ class Block:
     def loaded(raw: bytes) -> "Block":
         return Block(**dict(np.load(io.BytesIO(raw))))
 
-    def reach(self, anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The least and greatest distance that rows of each bucket may have from the anchor."""
-        d = Space.distances(self.space.of_anchors(anchor[None]), self.vantages)[0]
-        return np.maximum(np.maximum(d - self.far, self.near - d).max(1), 0), (d + self.far).min(1)
-
-    def search(self, anchor_id: int, label: int, anchor: np.ndarray, low: list[int], high: list[int], k: int, same: bool):
-        """For each window the ids and scores of its k highest rows in this block."""
-        slack, (nearest, farthest) = self.space.slack, self.reach(anchor)
-        order = np.argsort(nearest, kind="stable")
-        scores: dict[int, np.ndarray] = {}  # of the buckets that some window has opened
-        for least, most in zip(low, high, strict=True):
-            inner_radius, outer = self.space.radius(anchor, most), self.space.radius(anchor, least)
-            path = order[farthest[order] >= inner_radius - slack]
-            ids, found = np.zeros(0, np.int64), np.zeros(0, np.int64)
-            at, step = 0, 1
-            while at < len(path):
-                opened = [b for b in path[at : at + step] if nearest[b] <= outer + slack]
-                if not opened:
-                    break
-                at, step = at + step, 2 * step
-                for b in opened:
-                    a, e = self.first[b], self.first[b + 1]
-                    if b not in scores:
-                        scores[b] = inner(self.x[a:e], anchor)
-                rows = np.concatenate([np.arange(self.first[b], self.first[b + 1]) for b in opened])
-                s = np.concatenate([scores[b] for b in opened])
-                good = ((self.labels[rows] == label) == same) & (self.ids[rows] != anchor_id) & (s >= least) & (s <= most)
-                ids, found = np.concatenate([ids, self.ids[rows[good]]]), np.concatenate([found, s[good]])
-                if len(ids) >= k:
-                    kept = best(ids, found, k)
-                    ids, found = ids[kept], found[kept]
-                    outer = self.space.radius(anchor, found[-1])
-            kept = best(ids, found, k)
-            yield ids[kept], found[kept]
+    def reach(self, anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The least and greatest distance that rows of each bucket may have from each anchor."""
+        d = Space.distances(self.space.of_anchors(anchors), self.vantages)
+        near, far = np.zeros((len(anchors), len(self.near))), np.full((len(anchors), len(self.near)), np.inf)
+        for p in range(len(self.vantages)):
+            here = d[:, p : p + 1]
+            np.maximum(near, np.maximum(here - self.far[:, p], self.near[:, p] - here), out=near)
+            np.minimum(far, here + self.far[:, p], out=far)
+        return near, far
+
+    def search(self, anchor_ids, labels, anchors: np.ndarray, owner, low, high, k: int, same: bool):
+        """For each window (the anchor that owns it, its lowest and highest score) its k highest rows in this block, as
+        (window, vec_id, score). All windows are taken on together, each opening its own next buckets."""
+        slack, n_rows, none = self.space.slack, len(self.ids), -(2**63)
+        near, far = self.reach(anchors)
+        inner_radius, outer = self.space.radius(anchors[owner], high), self.space.radius(anchors[owner], low)
+        nearest = np.where(far[owner] >= inner_radius[:, None] - slack, near[owner], np.inf)
+        path = np.argsort(nearest, axis=1, kind="stable")
+        nearest = np.take_along_axis(nearest, path, 1)
+        fits = ((self.labels == labels[:, None]) == same) & (self.ids != anchor_ids[:, None])
+        scores = np.zeros((len(anchors), n_rows), np.int64)
+        known = np.zeros(near.shape, bool)
+        found = np.full((len(owner), n_rows), none)  # scores of the rows that a window has opened and that fit
+        at, step = 0, 2
+        while at < path.shape[1]:
+            opens = nearest[:, at : at + step] <= outer[:, None] + slack
+            active = np.flatnonzero(opens.any(1))
+            if not len(active):
+                break
+            window, place = np.nonzero(opens)
+            bucket = path[window, at + place]
+            need = np.zeros(known.shape, bool)
+            need[owner[window], bucket] = True
+            need &= ~known
+            known |= need
+            for b in np.flatnonzero(need.any(0)).tolist():
+                a, rows = np.flatnonzero(need[:, b]), slice(self.first[b], self.first[b + 1])
+                scores[a, rows] = inner(anchors[a], self.x[rows])
+            for b in np.unique(bucket).tolist():
+                w, rows = window[bucket == b], slice(self.first[b], self.first[b + 1])
+                s = scores[owner[w], rows]
+                found[w, rows] = np.where(fits[owner[w], rows] & (s >= low[w, None]) & (s <= high[w, None]), s, none)
+            if n_rows >= k:
+                least = np.partition(found[active], n_rows - k, axis=1)[:, n_rows - k]
+                full = active[least > none]
+                outer[full] = self.space.radius(anchors[owner[full]], least[least > none])
+            at, step = at + step, 2 * step
+        if n_rows > k:  # rows behind the k-th score; those that tie with it stay
+            found[found < np.partition(found, n_rows - k, axis=1)[:, n_rows - k, None]] = none
+        window, row = np.nonzero(found > none)
+        order = np.lexsort((self.ids[row], -found[window, row], window))
+        window, row = window[order], row[order]
+        first = np.searchsorted(window, np.arange(len(owner)))
+        kept = np.arange(len(window)) - first[window] < k
+        return window[kept], self.ids[row[kept]], found[window[kept], row[kept]]
 
 
 def _folder(uri: str):
@@ -280,15 +299,17 @@ def _searcher(folder: str, k: int, same: bool):
         system, top = _folder(folder)
         name, block = None, None
         for frame in frames:
-            out = []
-            for r in frame.itertuples(index=False):
-                if r.file != name:
-                    with system.open_input_file(f"{top}/{r.file}") as f:
-                        name, block = r.file, Block.loaded(f.read())
-                found = block.search(r.anchor_id, r.label, np.array(r.v, np.int64), r.low, r.high, k, same)
-                for key, (ids, scores) in zip(r.keys, found, strict=True):
-                    out += [(r.anchor_id, key, i, s) for i, s in zip(ids.tolist(), scores.tolist(), strict=True)]
-            yield pd.DataFrame(out, columns=["anchor_id", "key", "vec_id", "score"])
+            for file, visits in frame.groupby("file", sort=False):
+                if file != name:
+                    with system.open_input_file(f"{top}/{file}") as f:
+                        name, block = file, Block.loaded(f.read())
+                for at in range(0, len(visits), TOGETHER):
+                    some = visits.iloc[at : at + TOGETHER]
+                    owner = np.repeat(np.arange(len(some)), some["keys"].map(len))
+                    keys, low, high = (np.concatenate(some[c].tolist()).astype(np.int64) for c in ("keys", "low", "high"))
+                    ids, labels = some["anchor_id"].to_numpy(np.int64), some["label"].to_numpy(np.int64)
+                    window, found, scores = block.search(ids, labels, matrix(some["v"]), owner, low, high, k, same)
+                    yield pd.DataFrame({"anchor_id": ids[owner[window]], "key": keys[window], "vec_id": found, "score": scores})
 
     return search
 
@@ -334,12 +355,14 @@ class Index:
         salt = F.pmod(F.xxhash64("vec_id"), parts[F.col("leaf")])
         dealt = dealt.withColumn("block", F.concat_ws("-", "leaf", salt)).repartition("block").sortWithinPartitions("block")
         self.blocks = written(dealt.mapInPandas(_block_writer(self.folder, longest), "leaf long, file string, n long"), "vantage-blocks")
+        # Searches are long for their few bytes, so their tasks are counted by blocks.
+        self.n_tasks = max(spark.sparkContext.defaultParallelism, self.blocks.count())
 
     def search(self, requests: DataFrame, k: int, same: bool) -> DataFrame:
         """For each anchor and window (a key, with its lowest and highest score) the first k rows of the same label, or of
         others, as (anchor_id, key, vec_id, score, rank)."""
-        visits = requests.mapInPandas(_router(self.top, k, same), f"leaf long, {REQUEST}")
-        visits = visits.join(self.blocks.select("leaf", "file"), "leaf").repartition("file", F.pmod(F.xxhash64("anchor_id"), F.lit(64))).sortWithinPartitions("file")
+        visits = requests.repartition(self.n_tasks, "anchor_id").mapInPandas(_router(self.top, k, same), f"leaf long, {REQUEST}")
+        visits = visits.join(self.blocks.select("leaf", "file"), "leaf").repartition(self.n_tasks, "file", F.pmod(F.xxhash64("anchor_id"), F.lit(64))).sortWithinPartitions("file")
         found = visits.select("file", "anchor_id", "label", "v", "keys", "low", "high").mapInPandas(_searcher(self.folder, k, same), FOUND)
         order = Window.partitionBy("anchor_id", "key").orderBy(F.desc("score"), "vec_id")
         return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
