@@ -37,6 +37,7 @@ SCALE = 256
 SAMPLE = 4096  # rows of which the top of the tree is made
 ROWS = 2048  # of a block
 TOGETHER = 128  # anchors that search a block at once
+ANCHORS = 512  # that one task reads a block for
 BUCKET = 64
 MOST_LEAVES = 256
 ANY = 2**62  # beyond any score
@@ -358,11 +359,11 @@ class Index:
         # Searches are long for their few bytes, so their tasks are counted by blocks.
         self.n_tasks = max(spark.sparkContext.defaultParallelism, self.blocks.count())
 
-    def search(self, requests: DataFrame, k: int, same: bool) -> DataFrame:
-        """For each anchor and window (a key, with its lowest and highest score) the first k rows of the same label, or of
-        others, as (anchor_id, key, vec_id, score, rank)."""
+    def search(self, requests: DataFrame, n_anchors: int, k: int, same: bool) -> DataFrame:
+        """For each of the n_anchors anchors and its windows (a key, with its lowest and highest score) the first k rows of
+        the same label, or of others, as (anchor_id, key, vec_id, score, rank)."""
         visits = requests.repartition(self.n_tasks, "anchor_id").mapInPandas(_router(self.top, k, same), f"leaf long, {REQUEST}")
-        visits = visits.join(self.blocks.select("leaf", "file"), "leaf").repartition(self.n_tasks, "file", F.pmod(F.xxhash64("anchor_id"), F.lit(64))).sortWithinPartitions("file")
+        visits = visits.join(self.blocks.select("leaf", "file"), "leaf").repartition(self.n_tasks, "file", F.pmod(F.xxhash64("anchor_id"), F.lit(-(-n_anchors // ANCHORS)))).sortWithinPartitions("file")
         found = visits.select("file", "anchor_id", "label", "v", "keys", "low", "high").mapInPandas(_searcher(self.folder, k, same), FOUND)
         order = Window.partitionBy("anchor_id", "key").orderBy(F.desc("score"), "vec_id")
         return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
@@ -380,15 +381,18 @@ def mine(rows: DataFrame, anchors: DataFrame, n_positives: int = 5, k: int = 10,
     if not index.n:
         return spark.createDataFrame([], MINED)
     asked = rows.join(anchors.select("vec_id").distinct(), "vec_id").select(F.col("vec_id").alias("anchor_id"), "label", "v")
+    n_anchors = asked.count()
+    if not n_anchors:
+        return spark.createDataFrame([], MINED)
     one = lambda x: F.array(F.lit(x).cast("long"))
-    positives = index.search(asked.select("*", one(0).alias("keys"), one(-ANY).alias("low"), one(ANY).alias("high")), n_positives, True)
+    positives = index.search(asked.select("*", one(0).alias("keys"), one(-ANY).alias("low"), one(ANY).alias("high")), n_anchors, n_positives, True)
     positives = written(positives.select("anchor_id", F.col("vec_id").alias("positive_id"), F.col("score").alias("positive_score")).where("score >= 0"), "positives")
     tenths, rest = F.expr("positive_score div 10"), F.col("positive_score") % 10
     low = tenths * window[0] + F.floor((rest * window[0] + 9) / 10)
     high = tenths * window[1] + F.floor(rest * window[1] / 10)
     windows = positives.groupBy("anchor_id").agg(F.collect_list(F.struct("positive_id", low.alias("low"), high.alias("high"))).alias("w"))  # n_positives at most
     requests = asked.join(windows, "anchor_id").select("anchor_id", "label", "v", F.col("w.positive_id").alias("keys"), "w.low", "w.high")
-    found = index.search(requests, k, False).withColumnsRenamed({"key": "positive_id", "vec_id": "negative_id", "score": "negative_score"})
+    found = index.search(requests, n_anchors, k, False).withColumnsRenamed({"key": "positive_id", "vec_id": "negative_id", "score": "negative_score"})
     return found.join(positives, ["anchor_id", "positive_id"]).select("anchor_id", "positive_id", F.col("rank").cast("int").alias("rank"), "negative_id", "positive_score", "negative_score")
 
 
