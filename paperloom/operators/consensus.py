@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions.text import grams_of
+from paperloom.operators.ranges import self_overlapping
 from paperloom.operators.telemetry import ratio
 
 SEVERITIES = ["baixo", "medio", "alto", "critico"]  # fixed values, in order
@@ -26,13 +27,18 @@ def raised(severity: Column, imperative: Column, essential: Column, keyword: Col
     return F.element_at(F.array(*map(F.lit, SEVERITIES)), new + 1)
 
 
-def overlap_edges(findings: DataFrame, least: float = 0.3) -> DataFrame:
+def overlap_edges(findings: DataFrame, least: float = 0.3, longest: int | None = None) -> DataFrame:
     """J7, edges: pairs of findings of one document and different auditors that overlap by ``least`` of the shorter."""
-    a, b = findings.alias("a"), findings.alias("b")
-    shared = F.least("a.e", "b.e") - F.greatest("a.s", "b.s")
+    rows = findings.select("doc_id", "auditor_id", "finding_id", "s", "e")
+    met = self_overlapping(rows, "doc_id", longest=longest)
+    # The later start is b's; equal starts meet in both orders, of which one stays.
+    met = met.where("a.auditor_id <> b.auditor_id and (a.s < b.s or a.auditor_id < b.auditor_id)")
+    shared = F.least("a.e", "b.e") - F.col("b.s")
     shorter = F.least(F.col("a.e") - F.col("a.s"), F.col("b.e") - F.col("b.s"))
-    pair = (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.auditor_id") < F.col("b.auditor_id")) & (shared > 0) & (shared >= least * shorter)
-    return a.join(b, pair).select(F.col("a.doc_id").alias("doc_id"), F.col("a.finding_id").alias("a"), F.col("b.finding_id").alias("b"), shared.alias("shared"))
+    met = met.where((shared > 0) & (shared >= least * shorter))
+    in_order = F.col("a.auditor_id") < F.col("b.auditor_id")
+    first, second = F.when(in_order, F.col("a")).otherwise(F.col("b")), F.when(in_order, F.col("b")).otherwise(F.col("a"))
+    return met.select("a.doc_id", first["finding_id"].alias("a"), second["finding_id"].alias("b"), shared.alias("shared"))
 
 
 def _greedy(least: float):

@@ -1,11 +1,12 @@
 """Half-open ranges within documents.
 
-All joins carry the document's key, so a range is only compared with ranges of its own document.
+Joins carry the document's key, and within a document the nodes of operators/ranges.py.
 """
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from paperloom.operators.ranges import contained, overlapping
 from paperloom.operators.telemetry import ratio
 
 
@@ -35,11 +36,14 @@ def coverage(ranges: DataFrame, total: int, *keys: str, wide: int = 100) -> Data
     return out.withColumns({"share": ratio(F.col("covered"), F.lit(total)), "complete": F.col("widest") < wide})
 
 
-def offset_to_page(points: DataFrame, pages: DataFrame) -> DataFrame:
+def offset_to_page(points: DataFrame, pages: DataFrame, longest: int | None = None) -> DataFrame:
     """The page that holds each point (doc_id, point_id, at); behind the end the last page."""
-    own = points.join(pages, "doc_id", "left")
-    inside = (F.col("at") >= F.col("page_start")) & (F.col("at") < F.col("page_end"))
-    return own.groupBy("doc_id", "point_id", "at").agg(F.coalesce(F.min(F.when(inside, F.col("page_num"))), F.max("page_num")).alias("page_num"))
+    hits = contained(points, pages, "doc_id", "at", "page_start", "page_end", longest)
+    hits = hits.select("p.doc_id", "p.point_id", "p.at", F.col("r.page_num").alias("page_num"))
+    every = points.select("doc_id", "point_id", "at", F.lit(None).cast("long").alias("page_num")).unionByName(hits)
+    found = every.groupBy("doc_id", "point_id", "at").agg(F.min("page_num").alias("held"))
+    last = pages.groupBy("doc_id").agg(F.max("page_num").alias("last"))
+    return found.join(last, "doc_id", "left").select("doc_id", "point_id", "at", F.coalesce("held", "last").alias("page_num"))
 
 
 def floor_page(points: DataFrame, pages: DataFrame) -> DataFrame:
@@ -50,11 +54,12 @@ def floor_page(points: DataFrame, pages: DataFrame) -> DataFrame:
     return both.withColumn("floor", F.last("page_num", ignorenulls=True).over(order)).where("o = 1").select("doc_id", "point_id", "at", F.col("floor").alias("page_num"))
 
 
-def ranges_to_pages(ranges: DataFrame, pages: DataFrame) -> DataFrame:
+def ranges_to_pages(ranges: DataFrame, pages: DataFrame, longest: int | None = None) -> DataFrame:
     """First, last and number of the pages that each range (doc_id, range_id, s, e) overlaps; nulls and 0 for none."""
-    hit = (F.col("r.s") < F.col("p.page_end")) & (F.col("r.e") > F.col("p.page_start"))
-    joined = ranges.alias("r").join(pages.alias("p"), (F.col("r.doc_id") == F.col("p.doc_id")) & hit, "left")
-    return joined.groupBy(F.col("r.doc_id").alias("doc_id"), "range_id").agg(F.min("page_num").alias("page_first"), F.max("page_num").alias("page_last"), F.count("page_num").alias("n_pages"))
+    p = pages.select("doc_id", "page_num", F.col("page_start").alias("s"), F.col("page_end").alias("e"))
+    hits = overlapping(ranges, p, "doc_id", longest=longest).select("a.doc_id", "a.range_id", "b.page_num")
+    every = ranges.select("doc_id", "range_id", F.lit(None).cast("long").alias("page_num")).unionByName(hits)
+    return every.groupBy("doc_id", "range_id").agg(F.min("page_num").alias("page_first"), F.max("page_num").alias("page_last"), F.count("page_num").alias("n_pages"))
 
 
 def as_of(facts: DataFrame, versions: DataFrame) -> DataFrame:
@@ -74,17 +79,18 @@ def overlap_filter(ranges: DataFrame, start: int, end: int) -> DataFrame:
     return ranges.where((F.col("s") < end) & (F.col("e") > start))
 
 
-def anti_overlap(found: DataFrame, registered: DataFrame) -> DataFrame:
+def anti_overlap(found: DataFrame, registered: DataFrame, longest: int | None = None) -> DataFrame:
     """J10 without growth of the registry: ranges of found (doc_id, s, e) that overlap none of registered."""
-    hit = (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.s") < F.col("b.e")) & (F.col("a.e") > F.col("b.s"))
-    return found.alias("a").join(registered.alias("b"), hit, "left_anti")
+    ranges = [rows.select("doc_id", "s", "e").distinct() for rows in (found, registered)]
+    hit = overlapping(*ranges, "doc_id", longest=longest).select("a.*").distinct()
+    return found.join(hit, ["doc_id", "s", "e"], "left_anti").select(found.columns)
 
 
-def first_container(points: DataFrame, ranges: DataFrame, default: int = 0) -> DataFrame:
+def first_container(points: DataFrame, ranges: DataFrame, default: int = 0, longest: int | None = None) -> DataFrame:
     """The least index of a range that holds each point (doc_id, point_id, at), else the default."""
-    inside = (F.col("p.doc_id") == F.col("r.doc_id")) & (F.col("p.at") >= F.col("r.s")) & (F.col("p.at") < F.col("r.e"))
-    joined = points.alias("p").join(ranges.alias("r"), inside, "left")
-    return joined.groupBy(F.col("p.doc_id").alias("doc_id"), "point_id").agg(F.coalesce(F.min("index"), F.lit(default)).alias("index"))
+    hits = contained(points, ranges, "doc_id", "at", longest=longest).select("p.doc_id", "p.point_id", "r.index")
+    every = points.select("doc_id", "point_id", F.lit(None).cast("long").alias("index")).unionByName(hits)
+    return every.groupBy("doc_id", "point_id").agg(F.coalesce(F.min("index"), F.lit(default)).alias("index"))
 
 
 def coverage_matrix(hits: DataFrame, n_pages: int) -> DataFrame:

@@ -82,7 +82,7 @@ EDGE = "a.doc_id = b.doc_id and a.auditor_id < b.auditor_id and least(a.e, b.e)
 
 @query("j07_overlap_edges", using("spans", f"select a.doc_id, a.line a, b.line b, least(a.e, b.e) - greatest(a.s, b.s) shared from spans a join spans b on {EDGE}"))
 def overlap_edges(spark, d):
-    return c.overlap_edges(findings(spark, d))
+    return c.overlap_edges(findings(spark, d), longest=50)
 
 
 @query("j07_clusters")

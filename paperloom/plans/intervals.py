@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from paperloom.operators import intervals as i
+from paperloom.operators import ranges as r
 from paperloom.plans.registry import query
 from paperloom.plans.views_sql import using
 from paperloom.sources import views as v
@@ -13,6 +14,7 @@ ISLANDS = """m as (select *, max(e) over (partition by doc_id order by s, e rows
 GAPS = ISLANDS + """, g as (select doc_id, lag(e, 1, 0) over (partition by doc_id order by s, e) gap_start, s gap_end from
   (select doc_id, s, e from islands union all select distinct doc_id, 250, 250 from islands)),
   gaps as (select * from g where gap_start < gap_end)"""
+LONGEST = 50  # of spans and pages of these views
 POINTS = lambda s: s.select("doc_id", F.col("line").alias("point_id"), F.col("s").alias("at"))
 RANGES = lambda s: s.select("doc_id", F.col("line").alias("range_id"), "s", "e")
 
@@ -47,7 +49,7 @@ def coverage(spark, d):
 )
 def offset_to_page(spark, d):
     s = v.spans(spark, d)
-    return i.offset_to_page(POINTS(s), v.page_boundaries(s))
+    return i.offset_to_page(POINTS(s), v.page_boundaries(s), LONGEST)
 
 
 @query(
@@ -65,7 +67,7 @@ def floor_page(spark, d):
 )
 def ranges_to_pages(spark, d):
     s = v.spans(spark, d)
-    return i.ranges_to_pages(RANGES(s), v.page_boundaries(s))
+    return i.ranges_to_pages(RANGES(s), v.page_boundaries(s), LONGEST)
 
 
 @query(
@@ -87,7 +89,7 @@ def overlap_filter(spark, d):
 )
 def anti_overlap(spark, d):
     s = v.spans(spark, d)
-    return i.anti_overlap(s.where("item_type = 'fact'"), s.where("item_type = 'date'")).select("doc_id", "line", "s", "e")
+    return i.anti_overlap(s.where("item_type = 'fact'"), s.where("item_type = 'date'"), LONGEST).select("doc_id", "line", "s", "e")
 
 
 @query(
@@ -97,7 +99,7 @@ def anti_overlap(spark, d):
 def first_container(spark, d):
     s = v.spans(spark, d)
     chunks = v.page_boundaries(s, 3).select("doc_id", (F.col("page_num") - 1).alias("index"), F.col("page_start").alias("s"), F.col("page_end").alias("e"))
-    return i.first_container(s.select("doc_id", F.col("line").alias("point_id"), F.col("e").alias("at")), chunks).withColumn("index", F.col("index").cast("long"))
+    return i.first_container(s.select("doc_id", F.col("line").alias("point_id"), F.col("e").alias("at")), chunks, 0, LONGEST).withColumn("index", F.col("index").cast("long"))
 
 
 @query(
@@ -121,3 +123,54 @@ def coverage_matrix(spark, d):
 def page_offsets(spark, d):
     turns = v.table(spark, d, "conversations")
     return i.page_offsets(turns.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page_num"), F.length("text").cast("long").alias("n_chars")))
+
+
+# Three overlapping chunks of each document; facts are their entities, amounts their tables, pages their images.
+CHUNKS = "chunks as (select doc_id, c chunk_id, 80 * c s, 80 * c + 100 e from (select distinct doc_id from spans), (select unnest(range(0, 3))::bigint c))"
+CHUNK_PAGES = CHUNKS + """, cp as (select c.doc_id, chunk_id, coalesce(max(case when page_start <= s and s < page_end then page_num end), 1) page_start,
+  coalesce(max(case when page_start < e and e <= page_end then page_num end), 1) page_end from chunks c left join page_boundaries p on c.doc_id = p.doc_id group by 1, 2)"""
+
+
+def chunks(spans):
+    c = spans.select("doc_id").distinct().withColumn("chunk_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))))
+    return c.withColumns({"s": F.col("chunk_id") * 80, "e": F.col("chunk_id") * 80 + 100})
+
+
+@query(
+    "j08_chunk_entities",
+    using("spans", """select c.doc_id, chunk_id, coalesce(string_agg(distinct line, ',' order by line), '') entities from chunks c
+  left join (select * from spans where item_type = 'fact') x on c.doc_id = x.doc_id and c.s < x.e and c.e > x.s group by 1, 2""", CHUNKS),
+)
+def chunk_entities(spark, d):
+    s = v.spans(spark, d)
+    entities = s.where("item_type = 'fact'").select("doc_id", F.col("line").alias("entity_id"), "s", "e")
+    refs = r.entity_refs(chunks(s), entities, 100)
+    return refs.select("doc_id", "chunk_id", F.array_join("entity_refs", ",").alias("entities"))
+
+
+@query(
+    "j09_chunk_tables",
+    using("spans", "select c.*, exists (select 1 from spans x where x.item_type = 'amount' and c.doc_id = x.doc_id and c.s < x.e and c.e > x.s) contains_table from (select doc_id, chunk_id, s, e from chunks) c", CHUNKS).replace("select c.*,", "select c.doc_id, c.chunk_id,"),
+)
+def chunk_tables(spark, d):
+    s = v.spans(spark, d)
+    return r.with_tables(chunks(s), s.where("item_type = 'amount'"), 100)
+
+
+@query("e05_chunk_pages", using("spans page_boundaries", "select * from cp", CHUNK_PAGES))
+def chunk_pages(spark, d):
+    s = v.spans(spark, d)
+    return r.chunk_pages(chunks(s), v.page_boundaries(s), LONGEST)
+
+
+@query(
+    "j28_chunk_images",
+    using("spans page_boundaries", """select k.doc_id, chunk_id, page_num, concat('img', page_num) image from (select doc_id, chunk_id, page_start, case when chunk_id < 2 then page_end end page_end from cp) k
+  join page_boundaries p on k.doc_id = p.doc_id and (k.page_end is null or p.page_num between k.page_start and k.page_end)""", CHUNK_PAGES),
+)
+def chunk_images(spark, d):
+    """The last chunk of each document has no known end."""
+    s = v.spans(spark, d)
+    pages = v.page_boundaries(s)
+    known = r.chunk_pages(chunks(s), pages, LONGEST).withColumn("page_end", F.when(F.col("chunk_id") < 2, F.col("page_end")))
+    return r.chunk_images(known, pages.select("doc_id", "page_num", F.concat(F.lit("img"), F.col("page_num").cast("string")).alias("image")))
