@@ -1,4 +1,4 @@
-"""Ledger operators (A8, A40, L1-L6, W6, W11, T-1, T-2, P14, P31, P32, P34, J21). Amounts are integer cents."""
+"""Ledger operators (A8, A40, L2, L3, L6, W6, W11, T-1, T-2, P14, P31, P34, J21; L1, L4, L5: wallet.py). Amounts are integer cents."""
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,8 +22,9 @@ def profit(tx: DataFrame, as_of: str, days: int) -> DataFrame:
 
 
 def balance(tx: DataFrame) -> DataFrame:
-    """Available (credits less debits) and blocked (open entries) of each user."""
-    return tx.groupBy("user_id").agg(F.sum(signed(tx)).alias("total"), F.sum(F.when(F.col("status") == "O", F.col("amount")).otherwise(0)).alias("blocked"), F.count("*").alias("entries"))
+    """Total (credits less debits), blocked (open entries) and available, the total less the blocked, of each user."""
+    out = tx.groupBy("user_id").agg(F.sum(signed(tx)).alias("total"), F.sum(F.when(F.col("status") == "O", F.col("amount")).otherwise(0)).alias("blocked"), F.count("*").alias("entries"))
+    return out.withColumn("available", F.col("total") - F.col("blocked"))
 
 
 def running_balance(tx: DataFrame) -> DataFrame:
@@ -60,13 +61,6 @@ def orphan_blocks(tx: DataFrame, as_of: str, hours: int = 24) -> DataFrame:
     return tx.where((F.col("status") == "O") & old).select("tx_id", "user_id", "amount")
 
 
-def block(tx: DataFrame, users: DataFrame) -> DataFrame:
-    """L1: a block of 1.5 times the estimate succeeds if the user's available balance covers it."""
-    wanted = F.ceil(F.col("amount") * BLOCK_FACTOR).cast("long")
-    rows = tx.join(users.select("user_id", "balance"), "user_id").withColumn("blocked", wanted)
-    return rows.select("tx_id", "blocked", (F.col("balance") >= F.col("blocked")).alias("accepted"))
-
-
 def settle(tx: DataFrame, cap_at_block: bool = True) -> DataFrame:
     """L2: the client's cost is twice the real one, capped at the block if wished; the rest of the block is refunded."""
     blocked = F.ceil(F.col("amount") * BLOCK_FACTOR).cast("long")
