@@ -1,9 +1,11 @@
-"""Pages and chunks."""
+"""Pages and chunks (P1, P5, X15, W2, W3, W14, W15, A23, A47, G1, G2, G4, G7, J27, J30; G3, G5, G6: cutting.py)."""
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from paperloom.functions.cuts import greedy
 from paperloom.functions.text import page_status
 
 # States of a page.
@@ -92,19 +94,12 @@ def fixed_chunks(docs: DataFrame, size: int, overlap: int) -> DataFrame:
 def greedy_chunks(points: Column, target: int, overlap: int) -> Column:
     """Array of (start, end) over ascending split points: a chunk ends at the last point within ``target`` of its
     start; the next begins at the first point in its last ``overlap`` characters, else at its end."""
-    kind = "array<struct<start:bigint,end:bigint>>"
-    start = F.struct(F.get(points, F.lit(0)).alias("cs"), F.get(points, F.lit(0)).alias("ce"), F.array().cast(kind).alias("out"))
 
-    def step(acc, p):
-        over = (p - acc["cs"] > target) & (acc["ce"] > acc["cs"])
-        again = F.get(F.filter(points, lambda q: (q >= acc["ce"] - overlap) & (q < acc["ce"]) & (q > acc["cs"])), F.lit(0))
-        chunk = F.array(F.struct(acc["cs"].alias("start"), acc["ce"].alias("end")))
-        return F.struct(F.when(over, F.coalesce(again, acc["ce"])).otherwise(acc["cs"]).alias("cs"), p.alias("ce"), F.when(over, F.concat(acc["out"], chunk)).otherwise(acc["out"]).alias("out"))
+    @F.pandas_udf("array<struct<start:bigint,end:bigint>>")
+    def cut(lists: pd.Series) -> pd.Series:
+        return lists.map(lambda x: None if x is None else [{"start": int(s), "end": int(e)} for s, e in greedy(list(x), target, overlap)])
 
-    def finish(acc):
-        return F.when(acc["ce"] > acc["cs"], F.concat(acc["out"], F.array(F.struct(acc["cs"].alias("start"), acc["ce"].alias("end"))))).otherwise(acc["out"])
-
-    return F.aggregate(points, start, step, finish)
+    return cut(points.cast("array<bigint>"))
 
 
 def missed_signals(signals: DataFrame, extracted: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from paperloom.functions import text as x
+from paperloom.operators import cutting
 from paperloom.operators import pages as p
 from paperloom.plans.registry import query
 from paperloom.sources import views as v
@@ -149,3 +150,48 @@ def log_search(spark, d):
 @query("x26_titles", """select distinct p_name, array_to_string(list_transform(string_split(replace(replace(p_name, '_', ' '), '-', ' '), ' '), lambda z: upper(z[1]) || lower(z[2:])), ' ') title from part where p_name not like '%.%'""")
 def titles(spark, d):
     return v.table(spark, d, "part").where("p_name not like '%.%'").select("p_name", x.title_from_name(F.col("p_name")).alias("title")).distinct()
+
+
+SMALL_PAGE, SMALL_ZONES = 400, (1000, 600, 50)  # so that most documents are cut
+
+@query(
+    "g03_synthetic_pages",
+    f"""with recursive c as (select doc_id, "text", 0 page_num, 0::bigint "start", 0::bigint "end" from documents where len("text") > 0
+  union all select doc_id, "text", page_num + 1, "end", "end" + case when len(w) = {SMALL_PAGE} and "end" + {SMALL_PAGE} < len("text") and "last" > 0 then "last" + 1 else len(w) end
+  from (select *, len(regexp_extract(w, '(?s)^(.*)\\n', 1)) "last" from (select *, substr("text", "end" + 1, {SMALL_PAGE}) w from c where "end" < len("text"))))
+select doc_id, page_num::int page_num, "start", "end" from c where page_num > 0""",
+)
+def synthetic_pages(spark, d):
+    return cutting.synthetic_pages(docs(spark, d), SMALL_PAGE)
+
+
+THRESHOLD, SIZE, OVERLAP = SMALL_ZONES
+
+
+@query(
+    "g05_zones",
+    f"""with recursive c as (select doc_id, "text", 0 zone, 0::bigint "start", 0::bigint "end", 0::bigint again from documents where len("text") > {THRESHOLD}
+  union all select doc_id, "text", zone + 1, again, e, case when e - {OVERLAP} > again then e - {OVERLAP} else again + {SIZE // 2} end
+  from (select *, case when again + {SIZE} >= len("text") then len("text") when "last" > 0 and low + "last" - 1 > again + {SIZE // 2} then low + "last" + 1 else again + {SIZE} end e
+    from (select *, greatest(again + {SIZE} - 500, again) low, len(regexp_extract(substr("text", greatest(again + {SIZE} - 500, again) + 1, least(500, {SIZE})), '(?s)^(.*\\n)\\n', 1)) "last" from c where again < len("text"))))
+select doc_id, zone::int zone, "start", "end" from c where zone > 0""",
+)
+def zones(spark, d):
+    return cutting.zones(docs(spark, d), None, THRESHOLD, SIZE, OVERLAP, 1_000_000).select("doc_id", "zone", "start", "end")
+
+
+@query(
+    "v09_sql_chunks",
+    """select doc_id, (s // 4500)::int chunk_index, s::int "start", least(s + 5000, n)::int "end" from (select doc_id, len("text") n, unnest(range(0, greatest(len("text") - 501, 0) + 1, 4500)) s from documents where len("text") > 0)""",
+)
+def sql_chunks(spark, d):
+    """V9: G1 called in SQL, for each row of a table."""
+    cutting.register(spark)
+    return spark.sql("select doc_id, c.* from {docs}, lateral text_chunks(text, 5000, 500) c", docs=docs(spark, d))
+
+
+@query("v09_sql_matches", """select doc_id, count(*) n, sum(len(f))::bigint characters from (select doc_id, unnest(regexp_extract_all("text", '[0-9]+')) f from documents) group by 1""")
+def sql_matches(spark, d):
+    """V9: X6 called in SQL."""
+    cutting.register(spark)
+    return spark.sql("select doc_id, count(*) n, sum(end - start) characters from {docs}, lateral text_matches(text, '[0-9]+') m group by doc_id", docs=docs(spark, d))
