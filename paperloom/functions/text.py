@@ -1,10 +1,11 @@
 """Text expressions (X1-X13, X16, X18, X20-X30, P4, P16, P22, D1, D2), all as Spark columns."""
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Accented letters and their bare forms (lower case).
-ACCENTED, BARE = "áàâãäåéèêëíìîïóòôõöúùûüçñ", "aaaaaaeeeeiiiiooooouuuucn"
 # Characters that text recognition confuses, with the letter they stand for.
 OCR_FROM, OCR_TO = "01|!58@347()", "ollisbaeatcj"
 CURRENCY = "€$%£¥"
@@ -20,15 +21,22 @@ CASES = r"(?iu)\bProc(?:esso)?\.?\s*n\.?[º°]?\s*\d{1,5}[/.]\d{2,4}(?:\.\d+)?(?
 ENTITIES = {"date": DATES, "amount": AMOUNTS, "law": LAWS, "case": CASES, "tax_id": TAX_IDS}
 
 
-def unaccented(t: Column) -> Column:
-    """Lower-cased text with the bare forms of accented letters."""
-    return F.translate(F.lower(t), ACCENTED, BARE)
+def unaccented(t: Column, form: str = "NFKD") -> Column:
+    """Lower-cased text without combining marks, decomposed by a form of Unicode: NFKD also takes ligatures and the like
+    apart, NFD doesn't. Only texts with other than ASCII characters leave the JVM."""
+
+    @F.pandas_udf("string")
+    def bare(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda x: None if x is None else "".join(c for c in unicodedata.normalize(form, x) if not unicodedata.combining(c)).lower())
+
+    other = t.rlike(r"[^\x00-\x7F]")
+    return F.when(other, bare(F.when(other, t))).otherwise(F.lower(t))
 
 
 def for_matching(t: Column, ocr: bool = True) -> Column:
     """No accents; confused characters as letters where no digit is beside them; lower case; white space collapsed;
     no marks but currency signs; trimmed."""
-    out = unaccented(t)
+    out = unaccented(t, "NFD")
     if ocr:
         for a, b in zip(OCR_FROM, OCR_TO, strict=True):
             out = F.regexp_replace(out, r"(?<!\d)\Q" + a + r"\E(?!\d)", b)

@@ -14,9 +14,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.functions.places import Document
+from paperloom.functions.places import Document, prepare
 
 CITATIONS = 64  # that meet a text at once
+CHARACTERS = 1 << 20  # of texts, once for each of their citations, that are searched together
 LEAST = 0.85  # ratio of a near place
 PLACE = "doc_id long, item_id string, start long, end long, ratio double"
 CHECKED = "doc_id long, item_id string, page_declared long, status string, start long, end long, page_num long, ratio double, n_places long"
@@ -39,24 +40,40 @@ def _grouped(docs: DataFrame, pages: DataFrame | None, citations: DataFrame) ->
     return groups.join(pages.groupBy(F.col("doc_id").alias("_d")).agg(F.collect_list(wide).alias("pages")), "_d", "left")
 
 
-def _over(answer, schema: str):
-    """Answers each citation; (item_id, excerpt, page_num) in, rows after doc_id out."""
+def _over(answer, schema: str, least: Fraction, exact_first: bool):
+    """Answers each citation; (item_id, excerpt, page_num) in, rows after doc_id out. Searches of some CHARACTERS of text
+    are prepared together; with exact_first, only of excerpts that the text doesn't have exactly."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
     fields = list(to_arrow_schema(StructType.fromDDL(schema)))
 
+    def rows_of(held: list) -> pa.RecordBatch | None:
+        asked = []
+        for _, document, cited in held:
+            excerpts = [x for c in cited if (x := (c["excerpt"] or "").strip())]
+            asked += [(document, x) for x in document.wanted(excerpts, least) if not (exact_first and x in document.lower)]
+        prepare(asked, least)
+        rows = [(doc_id, *row) for doc_id, document, cited in held for c in cited for row in answer(document, *c.values())]
+        if rows:
+            columns = zip(*rows, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], [f.name for f in fields])
+        return None
+
     def run(batches):
+        held, size = [], 0
         for batch in batches:
             for i in range(batch.num_rows):
                 doc_id, text, pages, cited = (batch.column(c)[i].as_py() for c in ("_d", "text", "pages", "cited"))
-                if text is None:
-                    continue
-                document = Document(text, [tuple(p.values()) for p in pages or []])
-                rows = [(doc_id, *row) for c in cited for row in answer(document, *c.values())]
-                if rows:
-                    columns = zip(*rows, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], [f.name for f in fields])
+                if text is not None:
+                    held.append((doc_id, Document(text, [tuple(p.values()) for p in pages or []]), cited))
+                    size += (len(text) + 1) * len(cited)
+                if size >= CHARACTERS:
+                    if (out := rows_of(held)) is not None:
+                        yield out
+                    held, size = [], 0
+        if held and (out := rows_of(held)) is not None:
+            yield out
 
     return run
 
@@ -71,7 +88,7 @@ def near_places(docs: DataFrame, citations: DataFrame, least: float = LEAST) ->
         return [(item_id, s, e, float(r)) for s, e, r in found]
 
     given = citations.select("doc_id", "item_id", "excerpt", F.lit(None).cast("long").alias("page_num"))
-    return _grouped(docs, None, given).mapInArrow(_over(answer, PLACE), PLACE)
+    return _grouped(docs, None, given).mapInArrow(_over(answer, PLACE, bound, False), PLACE)
 
 
 def best_places(docs: DataFrame, citations: DataFrame, least: float = LEAST) -> DataFrame:
@@ -83,7 +100,7 @@ def best_places(docs: DataFrame, citations: DataFrame, least: float = LEAST) ->
         return [(item_id, found[0], found[1], float(found[2]))] if found else []
 
     given = citations.select("doc_id", "item_id", "excerpt", F.lit(None).cast("long").alias("page_num"))
-    return _grouped(docs, None, given).mapInArrow(_over(answer, PLACE), PLACE)
+    return _grouped(docs, None, given).mapInArrow(_over(answer, PLACE, bound, True), PLACE)
 
 
 def checked(docs: DataFrame, pages: DataFrame, citations: DataFrame, least: float = LEAST) -> DataFrame:
@@ -95,7 +112,7 @@ def checked(docs: DataFrame, pages: DataFrame, citations: DataFrame, least: floa
     def answer(document, item_id, excerpt, page):
         return [(item_id, page, *document.citation(excerpt, page, bound))]
 
-    found = _grouped(docs, pages, citations).mapInArrow(_over(answer, CHECKED), CHECKED)
+    found = _grouped(docs, pages, citations).mapInArrow(_over(answer, CHECKED, bound, True), CHECKED)
     absent = citations.join(docs.where("text is not null").select("doc_id").distinct(), "doc_id", "left_anti")
     null = lambda kind: F.lit(None).cast(kind)
     lost = absent.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("item_id").cast("string").alias("item_id"), F.col("page_num").cast("long").alias("page_declared"), F.lit("INVALID").alias("status"), null("long").alias("start"), null("long").alias("end"), null("long").alias("page_num"), F.lit(0.0).alias("ratio"), F.lit(0).cast("long").alias("n_places"))

@@ -127,8 +127,8 @@ def _pairs(docs: DataFrame, excerpts: DataFrame) -> DataFrame:
     """(doc_id, text, item_id, excerpt) of all documents that hold an excerpt, without regard to case. Words inside an
     excerpt are whole words of the document, so both sides meet on the longest of them. An excerpt of one or two words
     meets, by its longest word's first three characters, all words of the documents that hold that word. Blank excerpts
-    lie nowhere."""
-    wanted = excerpts.where(F.col("excerpt").rlike(r"\S")).select("excerpt").distinct()
+    meet documents by their first character; the empty one, a row at most, meets all."""
+    wanted = excerpts.where("excerpt is not null").select("excerpt").distinct()
     longest = lambda x: F.array_max(F.transform(x, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
     inner = longest(F.filter(_tokens(F.col("excerpt")), lambda w, at: (at > 0) & (at < F.size(_tokens(F.col("excerpt"))) - 1)))
     wanted = wanted.select("excerpt", inner.alias("inner"), longest(_tokens(F.col("excerpt"))).alias("outer"))
@@ -139,7 +139,11 @@ def _pairs(docs: DataFrame, excerpts: DataFrame) -> DataFrame:
     held = words.select("word").distinct().select("word", F.explode(grams).alias("gram")).join(short, "gram").where(F.col("word").contains(F.col("outer")))
     met = words.join(whole.unionByName(held.select("excerpt", "word")), "word").select(F.col("doc_id").alias("d"), "excerpt").distinct()
     has = folded(F.col("text")).contains(folded(F.col("excerpt")))
+    blank = wanted.where("outer = '' and excerpt <> ''").select("excerpt", F.substring("excerpt", 1, 1).alias("word"))
+    spaces = F.array_distinct(F.regexp_extract_all(F.col("text"), F.lit(r"\s"), 0))
+    met = met.unionByName(docs.select(F.col("doc_id").alias("d"), F.explode(spaces).alias("word")).join(blank, "word").select("d", "excerpt").distinct())
     pairs = met.join(docs, F.col("d").eqNullSafe(F.col("doc_id"))).where(has).select("doc_id", "text", "excerpt")
+    pairs = pairs.unionByName(docs.where("text is not null").select("doc_id", "text").crossJoin(F.broadcast(wanted.where("excerpt = ''").select("excerpt").limit(1))))
     return pairs.join(excerpts.select("item_id", "excerpt"), "excerpt")
 
 
@@ -166,8 +170,8 @@ def _starts(text: Column, excerpt: Column) -> Column:
 
 def all_places(docs: DataFrame, excerpts: DataFrame) -> DataFrame:
     """Every exact occurrence of excerpts (item_id, excerpt) in documents, overlapping ones too, with the number of
-    occurrences of the excerpt in the document."""
-    found = _pairs(docs, excerpts).withColumn("starts", _starts(folded(F.col("text")), folded(F.col("excerpt"))))
+    occurrences of the excerpt in the document; none of an empty excerpt."""
+    found = _pairs(docs, excerpts.where("excerpt <> ''")).withColumn("starts", _starts(folded(F.col("text")), folded(F.col("excerpt"))))
     out = found.select("doc_id", "item_id", F.size("starts").cast("long").alias("n"), F.length("excerpt").alias("size"), F.explode("starts").alias("start"))
     return out.select("doc_id", "item_id", "start", (F.col("start") + F.col("size")).alias("end"), "n")
 

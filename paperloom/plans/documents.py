@@ -8,7 +8,7 @@ from paperloom.operators import pages as p
 from paperloom.plans.registry import query
 from paperloom.sources import views as v
 
-UNACCENT = f"translate(lower(text), '{x.ACCENTED}', '{x.BARE}')"
+UNACCENT = "lower(strip_accents(text))"
 HASH = f"md5(trim(regexp_replace(regexp_replace({UNACCENT}, '[^\\p{{L}}\\p{{N}}_\\s]', '', 'g'), '\\s+', ' ', 'g'), ' '))"
 
 

@@ -42,8 +42,12 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -
 
 
 def first_of_each(events: DataFrame, late: str = "1 hour") -> DataFrame:
-    """One active row a user within the watermark."""
-    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["user_id"]) if events.isStreaming else events.dropDuplicates(["user_id"])
+    """One active row a user within the watermark; in a batch the first by ts, of equal ones the least in its other
+    columns."""
+    if events.isStreaming:
+        return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["user_id"])
+    first = F.min(F.struct("ts", *(c for c in events.columns if c not in ("ts", "user_id")))).alias("f")
+    return events.groupBy("user_id").agg(first).select(*(F.col("f")[c].alias(c) if c != "user_id" else F.col(c) for c in events.columns))
 
 
 STATE = "provider string, at double, success boolean, allowed boolean, state string, failures int"

@@ -78,3 +78,9 @@ def test_table_rows(spark):
 def test_markers_and_cleaning(spark):
     assert one(spark, x.inject_markers(F.col("t")), t="a\fb") == "[Página 1]\na\n\n[Página 2]\nb"
     assert one(spark, x.accept_cleaned(F.col("a"), F.col("b")), a="abcd", b="a") == "abcd"
+
+
+def test_marks_and_ligatures_do_not_change_the_hash(spark):
+    for a, b in (("Škoda ý ﬁm", "Skoda y fim"), ("ŁÓDŹ  №5", "łodz no5"), ("Ǆ ½", "dž 1⁄2"), ("İstanbul", "istanbul"), ("ASCII, only!", "ascii only"), ("e\u0301te\u0301", "été")):
+        assert one(spark, x.semantic_hash(F.col("t")), t=a) == one(spark, x.semantic_hash(F.col("t")), t=b)
+    assert one(spark, x.for_matching(F.col("t"), False), t="Ÿ ﬁ É") == "y ﬁ e"

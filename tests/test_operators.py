@@ -250,3 +250,17 @@ def test_rate_windows_on_a_stream(spark, tmp_path):
     query = windows.writeStream.format("memory").queryName("windows").outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination()
     assert sorted(r.calls for r in spark.table("windows").collect()) == [5, 5]
+
+
+def test_first_of_each_is_the_first_by_time(spark):
+    from paperloom.streaming import streams
+
+    rows = spark.createDataFrame([(1, "2026-01-02", 5), (1, "2026-01-01", 9), (1, "2026-01-01", 7), (None, "2026-01-03", 1)], "user_id long, ts string, n long")
+    assert sorted((tuple(r) for r in streams.first_of_each(rows).collect()), key=str) == [(1, "2026-01-01", 7), (None, "2026-01-03", 1)]
+
+
+def test_places_keep_lengths_and_blank_excerpts_are_nowhere(spark):
+    docs = spark.createDataFrame([(1, "xİy abc"), (2, "abc ABC")], "doc_id long, text string")
+    excerpts = spark.createDataFrame([("a", "abc"), ("b", ""), ("c", "  "), ("d", None)], "item_id string, excerpt string")
+    assert sorted(tuple(r) for r in consensus.locate(docs, excerpts).collect()) == [(1, "a", 4, 7), (1, "b", 0, 0), (2, "a", 0, 3), (2, "b", 0, 0)]
+    assert sorted((r.doc_id, r.start, r.n) for r in consensus.all_places(docs, excerpts).collect()) == [(1, 4, 1), (2, 0, 2), (2, 4, 2)]
