@@ -1,4 +1,4 @@
-"""Law references."""
+"""Law references."""
 
 from difflib import SequenceMatcher
 
@@ -7,8 +7,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from paperloom.functions import laws as patterns
 from paperloom.functions.text import grams_of
 
+CITED = "excerpt string, law string, article string, number string, clause string, normalised string"
+
 
 def sequence_ratio(a: Column, b: Column) -> Column:
     """The share of characters in matching blocks, as difflib counts it."""
@@ -61,3 +64,26 @@ def dual_lookup(checks: DataFrame, articles: DataFrame) -> DataFrame:
     out = checks.join(then, ["nid", "version_then", "article"], "left").join(now, ["nid", "version_now", "article"], "left")
     a, b = F.coalesce("t", F.lit(False)), F.coalesce("w", F.lit(False))
     return out.select(*checks.columns, a.alias("valid_then"), b.alias("valid_now"), (a != b).alias("changed"))
+
+
+def citations(docs: DataFrame) -> DataFrame:
+    """The law citations of each text (doc_id, text), numbered in the order in which they are found, with their parts.
+    A null text has none; rows that repeat are read each."""
+
+    @pandas_udf(f"array<struct<{CITED.replace(' string', ':string')}>>")
+    def found(texts: pd.Series) -> pd.Series:
+        names = [x.split()[0] for x in CITED.split(", ")]
+        return texts.map(lambda t: [dict(zip(names, c, strict=True)) for c in patterns.extracted(t or "")])
+
+    rows = docs.select("doc_id", F.posexplode(found("text")).alias("n", "c"))
+    return rows.select("doc_id", F.col("n").alias("citation"), "c.*")
+
+
+def normalised_citations(excerpts: DataFrame) -> DataFrame:
+    """Law, article, number, clause and normalised form of each excerpt; nulls where it names no article."""
+
+    @pandas_udf(CITED.replace("excerpt string, ", ""))
+    def parts(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([(patterns.normalised(t) if t else None) or (None,) * 5 for t in texts], columns=["law", "article", "number", "clause", "normalised"])
+
+    return excerpts.select("*", parts("excerpt").alias("_c")).select(*excerpts.columns, "_c.*")
