@@ -3,13 +3,15 @@
 from pyspark.sql import functions as F
 
 from paperloom.operators import consensus as c
+from paperloom.operators import consensus_run as cr
 from paperloom.operators import integrity as i
 from paperloom.operators import legal
+from paperloom.operators.citations import auditor_scores
 from paperloom.operators import merging as m
 from paperloom.operators import pages as p
 from paperloom.plans.documents import docs
 from paperloom.plans.registry import query
-from paperloom.plans.views_sql import using
+from paperloom.plans.views_sql import VIEWS, using
 from paperloom.sources import views as v
 
 BY = 'doc_id, item_type, "value"'
@@ -85,7 +87,19 @@ def overlap_edges(spark, d):
     return c.overlap_edges(findings(spark, d), longest=50)
 
 
-@query("j07_clusters")
+# A finding joins the first seed before it, of another auditor, that it overlaps enough; else it is a seed itself.
+CLUSTERS = """f as (select doc_id, auditor_id, line finding_id, s, e, severity, row_number() over (partition by doc_id order by auditor_id, line) n from spans),
+g as (select doc_id, 0::bigint n, []::struct(a varchar, f bigint, s bigint, e bigint)[] seeds, null::bigint finding_id, null::bigint cluster_id, null::varchar auditor_id, null::varchar severity from (select distinct doc_id from f)
+  union all select doc_id, n, case when hit is null then list_append(seeds, {'a': auditor_id, 'f': finding_id, 's': s, 'e': e}) else seeds end, finding_id, coalesce(hit, finding_id), auditor_id, severity
+  from (select f.*, g.seeds, list_filter(g.seeds, lambda z: z.a <> f.auditor_id and least(z.e, f.e) - greatest(z.s, f.s) > 0 and least(z.e, f.e) - greatest(z.s, f.s) >= 0.3 * least(z.e - z.s, f.e - f.s))[1].f hit from g join f on f.doc_id = g.doc_id and f.n = g.n + 1)),
+clustered as (select * from g where n > 0)"""
+
+
+def clustered_sql(body: str, more: str = "") -> str:
+    return f"with recursive spans as ({VIEWS['spans']}), {CLUSTERS}{', ' + more if more else ''} {body}"
+
+
+@query("j07_clusters", clustered_sql("select doc_id, finding_id, cluster_id from clustered"))
 def clusters(spark, d):
     return c.clusters(findings(spark, d)).select("doc_id", "finding_id", "cluster_id")
 
@@ -278,3 +292,66 @@ def resolved_names(spark, d):
     part = v.table(spark, d, "part")
     laws = part.where("p_partkey % 2 = 0").select(F.col("p_type").alias("alias"), F.col("p_brand").alias("law")).groupBy("alias").agg(F.min("law").alias("law"))
     return legal.resolve_names(part.select(F.col("p_type").alias("name")), laws)
+
+
+# A finding's citation is valid where its range has ten characters or more; an auditor with a range of one has a parse error.
+AUDITORS = "au as (select auditor_id, avg(case when e - s >= 10 then 1.0 else 0.0 end) score, case when bool_or(e - s = 1) then 0.7 else 1.0 end compliance from spans group by 1)"
+SCORES = f"""{AUDITORS}, mem as (select distinct doc_id, cluster_id, auditor_id from clustered),
+lead as (select doc_id, cluster_id, first({RANK} order by auditor_id, finding_id) lead from clustered group by 1, 2),
+sc as (select doc_id, cluster_id, count(*) n, avg(score) v, avg(compliance) o from mem join au using (auditor_id) group by 1, 2),
+last as (select doc_id, cluster_id, auditor_id, last({RANK} order by finding_id) r, max({RANK}) most from clustered group by 1, 2, 3),
+x as (select doc_id, cluster_id, max(r) = 3 and min(r) <= 1 contradicts, max(most) most, list(auditor_id) have from last group by 1, 2)"""
+
+
+def _run(spark, d, n_runs=cr.PHASE_C):
+    rows = findings(spark, d)
+    size = F.col("e") - F.col("s")
+    checks = rows.select("auditor_id", F.when(size >= 10, "VALID_EXACT").otherwise("INVALID").alias("status"))
+    errors = rows.groupBy("auditor_id").agg(F.max(size == 1).alias("bad")).select("auditor_id", F.when(F.col("bad"), F.array(F.lit("cannot parse"))).otherwise(F.array().cast("array<string>")).alias("errors"))
+    compliance = errors.select("auditor_id", i.compliance(F.col("errors")).alias("compliance"))
+    return cr.run(rows, auditor_scores(checks), compliance, ["A0", "A1", "A2", "A3"], n_runs)
+
+
+@query(
+    "v05_consensus",
+    clustered_sql(
+        """select sc.doc_id, sc.cluster_id, n n_auditors, round(0.5::double * n / 4 + 0.3::double * v + 0.2::double * o, 4) score,
+  case when n >= 3 and v >= 0.7 then 'FACTO_CERTIFICADO' when n >= 2 and v >= 0.5 then 'FACTO_PROVAVEL' when n = 1 then case when lead >= 2 then 'FINDING_ISOLADO' else 'NAO_FIAVEL' end else 'FACTO_PROVAVEL' end category,
+  contradicts, case when most >= 2 and len(have) < 4 then array_to_string(list_filter(['A0', 'A1', 'A2', 'A3'], lambda z: not list_contains(have, z)), ',') end missing
+  from sc join lead using (doc_id, cluster_id) join x using (doc_id, cluster_id)""",
+        SCORES,
+    ),
+)
+def consensus(spark, d):
+    """V5: each cluster with its score, whether auditors contradict each other in it, and who is silent."""
+    out = _run(spark, d)
+    key = ["doc_id", "cluster_id"]
+    against = out.contradictions.select(*key, F.lit(True).alias("contradicts"))
+    return out.scores.join(against, key, "left").join(out.omissions.select(*key, "missing"), key, "left").fillna(False, ["contradicts"])
+
+
+@query(
+    "v05_asked_again",
+    clustered_sql(
+        """select doc_id, kind, cluster_id, auditor_id from (select *, row_number() over (partition by doc_id order by priority, cluster_id, auditor_id nulls first) nr from
+  (select *, row_number() over (partition by doc_id, auditor_id order by priority, cluster_id) na from iss) where na <= 1) where nr <= 3""",
+        SCORES
+        + """, iss as (select doc_id, cluster_id, 1 priority, 'CONTRADICTION' kind, null::varchar auditor_id from x where contradicts
+  union all select doc_id, cluster_id, 2, 'OMISSION_SUSPECTED', unnest(list_filter(['A0', 'A1', 'A2', 'A3'], lambda z: not list_contains(have, z))) from x where most = 3 and len(have) < 4)""",
+    ),
+)
+def asked_again(spark, d):
+    return _run(spark, d).asked_again.select("doc_id", "kind", F.col("seq").alias("cluster_id"), "auditor_id")
+
+
+@query(
+    "e38_first_success",
+    using(
+        "model_calls",
+        """select user_id, min(created_at) filter (where success) attempt, first(model order by created_at) filter (where success) result, coalesce(min(n) filter (where success), max(n)) n_tried,
+  coalesce(min(n) filter (where success), 0) > 1 substitute from (select *, row_number() over (partition by user_id order by created_at) n from model_calls) group by 1""",
+    ),
+)
+def first_success(spark, d):
+    calls = v.model_calls(spark, d)
+    return cr.first_success(calls.select("user_id", F.col("created_at").alias("attempt"), F.col("success").alias("ok"), F.col("model").alias("result")), "user_id")
