@@ -1,4 +1,4 @@
-"""Text expressions (X1-X13, X16, X18, X20-X30, P4, P16, P22, D1, D2), all as Spark columns."""
+"""Text expressions (X1, X2, X4-X8, X10, X11, X13, X16, X18, X22-X28, X30, P4, P16, P22, P29, D1, D2), all as Spark columns."""
 
 import unicodedata
 

@@ -1,4 +1,4 @@
-"""Validators and confidence penalties."""
+"""Validators and confidence penalties."""
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F

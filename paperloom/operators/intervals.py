@@ -1,4 +1,4 @@
-"""Half-open ranges within documents.
+"""Half-open ranges within documents.
 
 Joins carry the document's key, and within a document the nodes of operators/ranges.py.
 """

@@ -1,4 +1,4 @@
-"""Files as tables and tables as files."""
+"""Files as tables and tables as files."""
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F

@@ -1,4 +1,4 @@
-"""Structured Streaming forms (R1-R6); each also runs on a batch of the same rows where that makes sense."""
+"""Structured Streaming forms (R1, R2, R4, R5, R7, R8; R3: budget.py, K4: facts.py); each also runs on a batch of the same rows where that makes sense."""
 
 from collections.abc import Iterator
 
