@@ -1,8 +1,8 @@
 """Text expressions (X1, X2, X4-X8, X10, X11, X13, X16, X18, X22-X28, X30, P4, P16, P22, P29, D1, D2), all as Spark columns."""
 
 import unicodedata
+from functools import cache
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,16 +21,44 @@ CASES = r"(?iu)\bProc(?:esso)?\.?\s*n\.?[º°]?\s*\d{1,5}[/.]\d{2,4}(?:\.\d+)?(?
 ENTITIES = {"date": DATES, "amount": AMOUNTS, "law": LAWS, "case": CASES, "tax_id": TAX_IDS}
 
 
-def unaccented(t: Column, form: str = "NFKD") -> Column:
-    """Lower-cased text without combining marks, decomposed by a form of Unicode: NFKD also takes ligatures and the like
-    apart, NFD doesn't. Only texts with other than ASCII characters leave the JVM."""
+@cache
+def _bare(form: str) -> tuple[str, str, dict[str, str]]:
+    """What a form of Unicode leaves of each character without combining marks: characters that become one other, what
+    they become, and behind them those that vanish; and those that become several. Hangul syllables stay as they are."""
+    one, gone, several = {}, [], {}
+    for c in map(chr, range(0x80, 0x110000)):
+        if "\ud800" <= c <= "\udfff" or "\uac00" <= c <= "\ud7a3":
+            continue
+        left = "".join(x for x in unicodedata.normalize(form, c) if not unicodedata.combining(x))
+        if not left:
+            gone.append(c)
+        elif len(left) > 1:
+            several[c] = left
+        elif left != c:
+            one[c] = left
+    return "".join(one) + "".join(gone), "".join(one.values()), several
+
+
+def _near(characters) -> str:
+    """A pattern of few ranges that holds the characters, and some others between them."""
+    ranges: list[list[int]] = []
+    for c in sorted(map(ord, characters)):
+        if ranges and c - ranges[-1][1] <= 64:
+            ranges[-1][1] = c
+        else:
+            ranges.append([c, c])
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ranges) + "]"
 
-    @F.pandas_udf("string")
-    def bare(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda x: None if x is None else "".join(c for c in unicodedata.normalize(form, x) if not unicodedata.combining(c)).lower())
 
-    other = t.rlike(r"[^\x00-\x7F]")
-    return F.when(other, bare(F.when(other, t))).otherwise(F.lower(t))
+def unaccented(t: Column, form: str = "NFKD") -> Column:
+    """Lower-cased text without combining marks, decomposed by a form of Unicode: NFKD also takes ligatures and the like
+    apart, NFD doesn't."""
+    old, new, several = _bare(form)
+    if several:
+        apart = F.create_map(*(F.lit(x) for pair in several.items() for x in pair))
+        letters = F.transform(F.split(t, ""), lambda c: F.coalesce(F.try_element_at(apart, c), c))
+        t = F.when(t.rlike(_near(several)), F.array_join(letters, "")).otherwise(t)
+    return F.lower(F.translate(t, old, new))
 
 
 def for_matching(t: Column, ocr: bool = True) -> Column:
