@@ -12,7 +12,10 @@ def by_hash(items: DataFrame) -> DataFrame:
     span = F.concat_ws("-", F.col("s").cast("string"), F.col("e").cast("string"))
     plain = F.lower(F.trim("value"))
     return items.groupBy("doc_id", "item_type", semantic_hash(F.col("value")).alias("hash")).agg(
-        F.count("*").alias("n_items"), F.array_join(F.array_sort(F.collect_set(span)), ",").alias("spans"), F.countDistinct("extractor_id").alias("n_extractors"), (F.countDistinct(plain) == 1).alias("agreed")
+        F.count("*").alias("n_items"),
+        F.array_join(F.array_sort(F.collect_set(span)), ",").alias("spans"),
+        F.size(F.collect_set("extractor_id")).cast("long").alias("n_extractors"),
+        F.coalesce(F.min(plain) == F.max(plain), F.lit(False)).alias("agreed"),
     )
 
 
