@@ -3,6 +3,7 @@
 from difflib import SequenceMatcher
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -11,6 +12,7 @@ from paperloom.functions import laws as patterns
 from paperloom.functions.text import grams_of
 
 CITED = "excerpt string, law string, article string, number string, clause string, normalised string"
+TEXTS = 256  # whose citations are held together
 
 
 def sequence_ratio(a: Column, b: Column) -> Column:
@@ -70,13 +72,21 @@ def citations(docs: DataFrame) -> DataFrame:
     """The law citations of each text (doc_id, text), numbered in the order in which they are found, with their parts.
     A null text has none; rows that repeat are read each."""
 
-    @pandas_udf(f"array<struct<{CITED.replace(' string', ':string')}>>")
-    def found(texts: pd.Series) -> pd.Series:
-        names = [x.split()[0] for x in CITED.split(", ")]
-        return texts.map(lambda t: [dict(zip(names, c, strict=True)) for c in patterns.extracted(t or "")])
-
-    rows = docs.select("doc_id", F.posexplode(found("text")).alias("n", "c"))
-    return rows.select("doc_id", F.col("n").alias("citation"), "c.*")
+    names = ["citation", *(x.split()[0] for x in CITED.split(", "))]
+    kinds = [pa.int32()] + [pa.string()] * (len(names) - 1)
+
+    def found(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, TEXTS):
+                some = batch.slice(at, TEXTS)
+                rows = [(i, n, *c) for i, t in enumerate(some.column("text")) for n, c in enumerate(patterns.extracted(t.as_py() or ""))]
+                if rows:
+                    which, *columns = zip(*rows, strict=True)
+                    ids = some.column("doc_id").take(pa.array(which))
+                    yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], ["doc_id", *names])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(found, f"doc_id {kind}, citation int, {CITED}")
 
 
 def normalised_citations(excerpts: DataFrame) -> DataFrame:
