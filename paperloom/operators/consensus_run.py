@@ -11,6 +11,7 @@ severities count as medium. No findings give empty tables.
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,7 +51,7 @@ def cluster_scores(clustered: DataFrame, validity: DataFrame, compliance: DataFr
 
 def run(findings: DataFrame, validity: DataFrame, compliance: DataFrame, auditors: list[str], n_runs: int) -> Consensus:
     """All stages over findings (doc_id, auditor_id, finding_id, s, e, severity), with n_runs earlier runs."""
-    clustered = clusters(findings)
+    clustered = clusters(findings).persist(StorageLevel.DISK_ONLY)  # three stages read it
     scored = cluster_scores(clustered, validity, compliance, len(auditors))
     against, silent = contradictions(clustered), omissions(clustered, auditors)
     if n_runs < PHASE_B:
