@@ -6,7 +6,7 @@ Joins carry the document's key, and within a document the nodes of operators/ran
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperloom.operators.ranges import contained, overlapping
+from paperloom.operators.ranges import contained, dealt, overlapping
 from paperloom.operators.telemetry import ratio
 
 
@@ -50,6 +50,7 @@ def floor_page(points: DataFrame, pages: DataFrame) -> DataFrame:
     """The page of the greatest start that is not behind the point."""
     both = points.select("doc_id", "point_id", "at", F.lit(None).cast("long").alias("page_num"), F.lit(1).alias("o"))
     both = both.unionByName(pages.select("doc_id", F.lit(None).cast("long").alias("point_id"), F.col("page_start").alias("at"), "page_num", F.lit(0).alias("o")))
+    both = dealt(both, "doc_id", like=points)
     order = Window.partitionBy("doc_id").orderBy("at", "o").rowsBetween(Window.unboundedPreceding, 0)
     return both.withColumn("floor", F.last("page_num", ignorenulls=True).over(order)).where("o = 1").select("doc_id", "point_id", "at", F.col("floor").alias("page_num"))
 

@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions.text import semantic_hash
+from paperloom.operators.ranges import dealt
 
 
 def by_hash(items: DataFrame) -> DataFrame:
@@ -42,10 +43,13 @@ def keep_strong(items: DataFrame, share: float = 0.2) -> DataFrame:
     """All items of extractors with at least ``share`` of the mean number of items in the document; of weaker ones
     the items whose hash no other extractor has, tagged."""
     hashed = items.withColumn("hash", semantic_hash(F.col("value")))
-    counts = hashed.groupBy("doc_id", "extractor_id").agg(F.count("*").alias("n"))
-    counts = counts.withColumn("strong", F.col("n") >= share * F.avg("n").over(Window.partitionBy("doc_id")))
-    sources = hashed.groupBy("doc_id", "hash").agg(F.countDistinct("extractor_id").alias("n_sources"))
-    joined = hashed.join(counts.drop("n"), ["doc_id", "extractor_id"]).join(sources, ["doc_id", "hash"])
+    by = lambda rows, *keys: dealt(rows, *keys, like=items)
+    by_source = by(hashed, "doc_id", "extractor_id")
+    counts = by_source.groupBy("doc_id", "extractor_id").agg(F.count("*").alias("n"))
+    counts = by(counts, "doc_id").withColumn("strong", F.col("n") >= share * F.avg("n").over(Window.partitionBy("doc_id")))
+    sources = by(hashed.select("doc_id", "hash", "extractor_id").distinct(), "doc_id", "hash").groupBy("doc_id", "hash").agg(F.count("extractor_id").alias("n_sources"))
+    joined = by_source.join(by(counts.drop("n"), "doc_id", "extractor_id"), ["doc_id", "extractor_id"])
+    joined = by(joined, "doc_id", "hash").join(sources, ["doc_id", "hash"])
     return joined.where("strong or n_sources = 1").withColumn("unique_source", ~F.col("strong")).drop("hash", "strong", "n_sources")
 
 

@@ -17,6 +17,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BITS = 6
+ROWS = 500_000  # of a table that is dealt to one task
+
+
+def dealt(rows: DataFrame, *keys: str, like: DataFrame) -> DataFrame:
+    """rows by keys in as many partitions as ``like`` has ROWS, so that a task's memory doesn't grow with the table."""
+    n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-like.count() // ROWS))
+    return rows.repartition(n, *keys)
 
 
 def _nodes(start: str, end: str, bits: int) -> Column:
@@ -92,11 +99,12 @@ def chunk_pages(chunks: DataFrame, pages: DataFrame, longest: int | None = None)
     return every.groupBy("doc_id", "chunk_id").agg(page(0).alias("page_start"), page(1).alias("page_end"))
 
 
-def chunk_images(chunks: DataFrame, images: DataFrame) -> DataFrame:
+def chunk_images(chunks: DataFrame, images: DataFrame, longest: int | None = None) -> DataFrame:
     """The images (doc_id, page_num, image) on the pages of each chunk (doc_id, chunk_id, page_start, page_end, both
-    included); all of its document's where a chunk has no pages."""
+    included); all of its document's where a chunk has no pages. longest: pages that no chunk exceeds, where it is known; else
+    the chunks are computed once more to read it off them."""
     known = F.col("page_start").isNotNull() & F.col("page_end").isNotNull()
     paged = chunks.where(known).withColumn("_end", F.col("page_end") + 1)
-    on_page = contained(images, paged, "doc_id", "page_num", "page_start", "_end", bits=0).select("r.doc_id", "r.chunk_id", "p.page_num", "p.image")
+    on_page = contained(images, paged, "doc_id", "page_num", "page_start", "_end", longest, bits=0).select("r.doc_id", "r.chunk_id", "p.page_num", "p.image")
     every = chunks.where(~known).select("doc_id", "chunk_id").join(images, "doc_id").select("doc_id", "chunk_id", "page_num", "image")
     return on_page.unionByName(every)

@@ -15,6 +15,7 @@ GAPS = ISLANDS + """, g as (select doc_id, lag(e, 1, 0) over (partition by doc_i
   (select doc_id, s, e from islands union all select distinct doc_id, 250, 250 from islands)),
   gaps as (select * from g where gap_start < gap_end)"""
 LONGEST = 50  # of spans and pages of these views
+N_PAGES = 5  # of a document
 POINTS = lambda s: s.select("doc_id", F.col("line").alias("point_id"), F.col("s").alias("at"))
 RANGES = lambda s: s.select("doc_id", F.col("line").alias("range_id"), "s", "e")
 
@@ -173,4 +174,4 @@ def chunk_images(spark, d):
     s = v.spans(spark, d)
     pages = v.page_boundaries(s)
     known = r.chunk_pages(chunks(s), pages, LONGEST).withColumn("page_end", F.when(F.col("chunk_id") < 2, F.col("page_end")))
-    return r.chunk_images(known, pages.select("doc_id", "page_num", F.concat(F.lit("img"), F.col("page_num").cast("string")).alias("image")))
+    return r.chunk_images(known, pages.select("doc_id", "page_num", F.concat(F.lit("img"), F.col("page_num").cast("string")).alias("image")), N_PAGES)

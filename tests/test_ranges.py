@@ -70,3 +70,18 @@ def test_users_of_range_joins_against_all_pairs(spark):
     points = f.select("doc_id", F.col("finding_id").alias("point_id"), F.col("e").alias("at"))
     got = {(r.doc_id, r.point_id): r["index"] for r in intervals.first_container(points, index, -1).collect()}
     assert got == {(x[0], x[2]): min([y[2] for y in rows if x[0] == y[0] and y[3] <= x[4] < y[4]], default=-1) for x in rows}
+
+
+def test_partitions_follow_rows(spark, monkeypatch):
+    monkeypatch.setattr(ranges, "ROWS", 10)
+    points = spark.range(1000).selectExpr("id % 50 as doc_id", "id as point_id", "id % 9 as at")
+    pages = spark.range(50).selectExpr("id as doc_id", "1L as page_num", "0L as page_start")
+    assert intervals.floor_page(points, pages).rdd.getNumPartitions() == 100
+
+
+def test_images_of_chunks_of_known_length_need_no_job(spark, monkeypatch):
+    monkeypatch.setattr(ranges, "_levels", None)
+    chunks = spark.createDataFrame([(1, 0, 1, 2), (1, 1, 2, None)], "doc_id long, chunk_id long, page_start long, page_end long")
+    images = spark.createDataFrame([(1, p, f"i{p}") for p in (1, 2, 3)], "doc_id long, page_num long, image string")
+    got = sorted((r.chunk_id, r.image) for r in ranges.chunk_images(chunks, images, 5).collect())
+    assert got == [(0, "i1"), (0, "i2"), (1, "i1"), (1, "i2"), (1, "i3")]
