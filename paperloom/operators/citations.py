@@ -5,7 +5,8 @@ is cited by a third of all rows is many groups, spread by the hash that deals th
 
 Defined results: a null or blank excerpt is INVALID and has no places; so are citations of documents that aren't there, or whose
 text is null; a declared page that the document doesn't have is passed over, and counts as a mismatch where the excerpt lies
-on another one. Rows that repeat are each answered. Lower case keeps lengths (İ is read as i), so offsets are the text's own.
+on another one. Rows that repeat are each answered. V4 takes white space off the ends of an excerpt, J17 searches it
+as it is given. Of places of equal ratio the first is the best. Lower case keeps lengths (İ is read as i), so offsets are the text's own.
 """
 
 from fractions import Fraction
@@ -40,9 +41,9 @@ def _grouped(docs: DataFrame, pages: DataFrame | None, citations: DataFrame) ->
     return groups.join(pages.groupBy(F.col("doc_id").alias("_d")).agg(F.collect_list(wide).alias("pages")), "_d", "left")
 
 
-def _over(answer, schema: str, least: Fraction, exact_first: bool):
+def _over(answer, schema: str, least: Fraction, exact_first: bool, clean=lambda excerpt: excerpt):
     """Answers each citation; (item_id, excerpt, page_num) in, rows after doc_id out. Searches of some CHARACTERS of text
-    are prepared together; with exact_first, only of excerpts that the text doesn't have exactly."""
+    are prepared together; with exact_first, only of excerpts that the text doesn't have exactly. clean: what is searched."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -51,7 +52,7 @@ def _over(answer, schema: str, least: Fraction, exact_first: bool):
     def rows_of(held: list) -> pa.RecordBatch | None:
         asked = []
         for _, document, cited in held:
-            excerpts = [x for c in cited if (x := (c["excerpt"] or "").strip())]
+            excerpts = [x for c in cited if (x := clean(c["excerpt"] or "")).strip()]
             asked += [(document, x) for x in document.wanted(excerpts, least) if not (exact_first and x in document.lower)]
         prepare(asked, least)
         rows = [(doc_id, *row) for doc_id, document, cited in held for c in cited for row in answer(document, *c.values())]
@@ -84,7 +85,7 @@ def near_places(docs: DataFrame, citations: DataFrame, least: float = LEAST) ->
     bound = Fraction(str(least))
 
     def answer(document, item_id, excerpt, _):
-        found = document.near(excerpt.strip(), bound) if excerpt else []
+        found = document.near(excerpt, bound) if (excerpt or "").strip() else []
         return [(item_id, s, e, float(r)) for s, e, r in found]
 
     given = citations.select("doc_id", "item_id", "excerpt", F.lit(None).cast("long").alias("page_num"))
@@ -96,7 +97,7 @@ def best_places(docs: DataFrame, citations: DataFrame, least: float = LEAST) ->
     bound = Fraction(str(least))
 
     def answer(document, item_id, excerpt, _):
-        found = document.best(excerpt.strip(), bound) if (excerpt or "").strip() else None
+        found = document.best(excerpt, bound) if (excerpt or "").strip() else None
         return [(item_id, found[0], found[1], float(found[2]))] if found else []
 
     given = citations.select("doc_id", "item_id", "excerpt", F.lit(None).cast("long").alias("page_num"))
@@ -112,7 +113,7 @@ def checked(docs: DataFrame, pages: DataFrame, citations: DataFrame, least: floa
     def answer(document, item_id, excerpt, page):
         return [(item_id, page, *document.citation(excerpt, page, bound))]
 
-    found = _grouped(docs, pages, citations).mapInArrow(_over(answer, CHECKED, bound, True), CHECKED)
+    found = _grouped(docs, pages, citations).mapInArrow(_over(answer, CHECKED, bound, True, str.strip), CHECKED)
     absent = citations.join(docs.where("text is not null").select("doc_id").distinct(), "doc_id", "left_anti")
     null = lambda kind: F.lit(None).cast(kind)
     lost = absent.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("item_id").cast("string").alias("item_id"), F.col("page_num").cast("long").alias("page_declared"), F.lit("INVALID").alias("status"), null("long").alias("start"), null("long").alias("end"), null("long").alias("page_num"), F.lit(0.0).alias("ratio"), F.lit(0).cast("long").alias("n_places"))

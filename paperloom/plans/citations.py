@@ -13,7 +13,7 @@ EXCERPTS = r"""cited as (select doc_id, concat('c', doc_id) item_id, lang, "text
 
 def excerpts(spark, d):
     rows = docs(spark, d).where(F.length("text") >= 200)
-    rows = rows.withColumn("excerpt", F.regexp_replace(F.substring("text", 81, 60), r"^[ \t\n\r]+|[ \t\n\r]+$", ""))
+    rows = rows.withColumn("excerpt", F.regexp_replace(F.substring("text", 81, 60), r"^[ \t\n\r]+|[ \t\n\r]+\z", ""))
     rows = rows.where(F.length("excerpt") >= 40).where(F.substring("excerpt", 30, 1) != "#")
     changed = F.concat(F.substring("excerpt", 1, 29), F.lit("#"), F.substr("excerpt", F.lit(31)))
     return rows.select("doc_id", F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("item_id"), "lang", "excerpt", changed.alias("changed"))

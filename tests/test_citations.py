@@ -123,3 +123,38 @@ def test_scores_of_auditors(spark):
     rows = [("A", s) for s in ("VALID_EXACT", "PAGE_MISMATCH", "INVALID", "INVALID_AMBIGUOUS")] + [("B", "VALID_FUZZY")]
     out = citations.auditor_scores(spark.createDataFrame(rows, "auditor_id string, status string")).orderBy("auditor_id").collect()
     assert [tuple(r) for r in out] == [("A", 4, 2, 1, 1, 1, 0.5), ("B", 1, 1, 0, 0, 0, 1.0)]
+
+
+def near_places_and_sql(spark, tmp_path, texts):
+    """Rows of j17_near_places and of its SQL, by doc_id."""
+    from paperloom import catalogue
+    from tests.compare import duckdb
+
+    spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    c = duckdb.connect()
+    c.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    ours = catalogue.QUERIES["j17_near_places"](spark, str(tmp_path)).collect()
+    return {r.doc_id: tuple(r) for r in ours}, {r[0]: r for r in c.execute(catalogue.SQL["j17_near_places"]).fetchall()}
+
+
+def prose(seed, n):
+    rng = random.Random(seed)
+    return "".join(rng.choice("abcdefghijklmnopqrstuvwxyz   ") for _ in range(n))
+
+
+def test_near_places_of_odd_ends_are_those_of_the_sql(spark, tmp_path):
+    # A final sigma, other white space and line ends at the ends of the 60 characters that are cited.
+    texts = [prose(i, 80) + x[0] + prose(i + 50, 60 - len(x[0]) - len(x[1])) + x[1] + "αβ" + prose(i, 200) for i, x in enumerate([("ab", "αβΣ"), ("\u00a0a", "b"), ("a", "b\u00a0"), ("a", "b \u2028"), ("\x0ba", "b\x0c"), ("ab", "b\t\n")])]
+    ours, theirs = near_places_and_sql(spark, tmp_path, texts)
+    assert ours == theirs and len(ours) == len(texts)
+
+
+def test_words_repeated_beside_another_are_nearer_or_as_near_before_the_place_of_the_sql(spark, tmp_path):
+    # The SQL takes the place of the excerpt before its 30th character was changed, and doesn't search for a better one.
+    texts = ["x" + "De " * 36 + "Te " * 60, "he " + "The " * 26 + "Thee " * 40]
+    ours, theirs = near_places_and_sql(spark, tmp_path, texts)
+    for i, text in enumerate(texts):
+        excerpt = text[80:140].strip()
+        s, e, ratio = scan(text, excerpt[:29] + "#" + excerpt[30:], LEAST)[0]
+        assert ours[i][2:] == (s, e, float(ratio))
+        assert ours[i] != theirs[i] and ours[i][4] >= theirs[i][4] and ours[i][2] < theirs[i][2]
