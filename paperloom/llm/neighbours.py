@@ -5,8 +5,10 @@ trained to tell in which parts a vector's neighbours lie. Every row goes to its
 most probable parts, as many as reach TARGET recall on the sample; there, inner products with the original vectors are
 computed in double precision and the best are kept.
 
-Parts are compared in blocks of ROWS rows and QUERIES queries, so a part that holds a third of all rows is spread over
-tasks. The number of parts follows the number of rows, up to MOST_PARTS.
+Rows of all parts are dealt to SLICES by hash, so a part that holds a third of all rows is spread over tasks. A query goes to each
+slice once, with the list of its parts, and keeps the k best of the slice while rows of these parts pass in blocks: what is
+dealt and found follows the number of queries, however many parts they probe. The number of parts follows the number of
+rows, up to MOST_PARTS.
 
 Defined results: vectors that are null, zero, of another length than most, or hold null or non-finite components, and
 rows without vec_id, take no part; a query is not its own neighbour, nor are rows of its vec_id; ties go to the smaller
@@ -25,7 +27,8 @@ from paperloom.llm.shared import written
 SAMPLE = 4096
 TARGET = 0.93
 MOST_PARTS = 256
-ROWS, QUERIES = 4096, 1024
+ROWS, QUERIES, PAIRS = 4096, 1024, 1 << 15  # that are multiplied at once
+SLICES, TOGETHER = 16, 16384  # of the rows, by hash; queries that pass over a slice together
 POOL = 8  # times k vec_ids are in the probed parts at least
 GRAPH = 12  # neighbours of a vertex
 
@@ -154,7 +157,7 @@ def _graph(x: np.ndarray, k: int, block: int = 512) -> np.ndarray:
 
 
 def _dealer(shared, n_probes: int, held: list[int] | None = None, k: int = 0):
-    """(part, vec_id, v) for the n_probes most probable parts of each vector of the router's length, and the next ones
+    """(parts, vec_id, v) with the n_probes most probable parts of each vector of the router's length, and the next ones
     until these hold more than POOL * k vec_ids; held: how many each part has."""
 
     def deal(batches):
@@ -170,67 +173,110 @@ def _dealer(shared, n_probes: int, held: list[int] | None = None, k: int = 0):
             n = np.full(len(x), min(n_probes, router.n_parts))
             if held is not None:
                 n = np.minimum(np.maximum(n, (np.cumsum(np.array(held)[order], axis=1) < POOL * k + 1).sum(1) + 1), router.n_parts)
-            top = order[np.arange(router.n_parts)[None, :] < n[:, None]]
-            ids = batch.column("vec_id").to_numpy(zero_copy_only=False)[right]
-            rows = np.repeat(np.arange(len(x)), n)
-            raw = [a.tobytes() for a in x]
-            data = [pa.array(top.astype(np.int32)), pa.array(ids[rows]), pa.array([raw[r] for r in rows], pa.binary())]
-            yield pa.RecordBatch.from_arrays(data, ["part", "vec_id", "v"])
+            top = order[np.arange(router.n_parts)[None, :] < n[:, None]].astype(np.int32)
+            parts = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.array(top))
+            data = [parts, batch.column("vec_id").take(pa.array(right)), pa.array([a.tobytes() for a in x], pa.binary())]
+            yield pa.RecordBatch.from_arrays(data, ["parts", "vec_id", "v"])
 
     return deal
 
 
-def _best(queries: list, rows: list, k: int):
-    """The k best vec_ids among rows for each query; repeated queries and rows count once."""
-    queries, rows = list(dict.fromkeys(queries)), sorted(set(rows))
-    q_ids, r_ids = np.array([q[0] for q in queries]), np.array([r[0] for r in rows])
-    q = np.frombuffer(b"".join(x[1] for x in queries)).reshape(len(queries), -1)
-    r = np.frombuffer(b"".join(x[1] for x in rows)).reshape(len(rows), -1)
-    sim = q @ r.T
-    sim[q_ids[:, None] == r_ids[None, :]] = -np.inf
-    ids, first, code = np.unique(r_ids, return_index=True, return_inverse=True)
-    most = np.maximum.reduceat(sim, first, axis=1)  # a vec_id's best vector
-    floor = -np.partition(-most, min(k, len(ids)) - 1, axis=1)[:, min(k, len(ids)) - 1]
-    for i in range(len(queries)):
-        near = (most[i] >= floor[i] - 1e-9 * abs(floor[i])) & (most[i] > -np.inf)
-        near = np.flatnonzero(near[code])
-        exact = (r[near] * q[i]).sum(1)  # each row is summed alike, so equal vectors tie
-        found: dict = {}
-        for j in np.lexsort((r_ids[near], -exact)):
-            if len(found) < k:
-                found.setdefault(int(r_ids[near[j]]), float(exact[j]))
-        for vec_id, score in found.items():
-            yield int(q_ids[i]), vec_id, score
-
-
-def _searcher(k: int):
-    """Searches each (part, row block, query block), by which rows are sorted."""
+class Nearest:
+    """The k best vec_ids so far for each of the queries that are asked together; rows are offered ROWS at a time."""
 
-    def search(batches):
-        out: list = []
-        queries: list = []
-        rows: list = []
-        group = None
+    def __init__(self, k: int, n_parts: int):
+        self.k, self.n_parts = k, n_parts
+        self.asked: list = []
+        self.offered: list = []
+        self.waiting = 0
+        self.q = None
+
+    def ask(self, ids: np.ndarray, v: np.ndarray, parts: list) -> None:
+        self.asked.append((ids, v, parts))
+
+    def offer(self, ids: np.ndarray, v: np.ndarray, parts: np.ndarray) -> None:
+        for at in range(0, len(ids), ROWS):
+            self.offered.append((ids[at : at + ROWS], v[at : at + ROWS], parts[at : at + ROWS]))
+            self.waiting += len(self.offered[-1][0])
+            if self.waiting >= ROWS:
+                self._compare()
 
-        def flushed():
-            data = [pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.float64()), strict=True)]
-            return pa.RecordBatch.from_arrays(data, ["query_id", "vec_id", "score"])
+    def _compare(self) -> None:
+        if not self.offered or not self.asked:
+            return
+        if self.q is None:
+            self.q_ids, self.q = (np.concatenate([x[i] for x in self.asked]) for i in (0, 1))
+            self.probed = np.zeros((len(self.q_ids), self.n_parts), bool)
+            for i, parts in enumerate(p for x in self.asked for p in x[2]):
+                self.probed[i, parts] = True
+            self.ids = np.zeros((len(self.q_ids), self.k), np.int64)
+            self.scores = np.full((len(self.q_ids), self.k), -np.inf)  # best first
+        ids, rows, parts = (np.concatenate([x[i] for x in self.offered]) for i in (0, 1, 2))
+        self.offered, self.waiting = [], 0
+        order = np.argsort(ids, kind="stable")
+        ids, rows, parts = ids[order], rows[order], parts[order]
+        first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+        wanted = np.flatnonzero(self.probed[:, np.unique(parts)].any(1))
+        for at in range(0, len(wanted), QUERIES):
+            self._meet(wanted[at : at + QUERIES], ids, rows, parts, first)
+
+    def _meet(self, some: np.ndarray, ids: np.ndarray, rows: np.ndarray, parts: np.ndarray, first: np.ndarray) -> None:
+        sim = self.q[some] @ rows.T
+        sim[(self.q_ids[some, None] == ids[None, :]) | ~self.probed[some][:, parts]] = -np.inf
+        most = np.maximum.reduceat(sim, first, axis=1)  # a vec_id's best vector
+        floor = self.scores[some, -1]
+        if most.shape[1] >= self.k:
+            floor = np.maximum(floor, -np.partition(-most, self.k - 1, axis=1)[:, self.k - 1])
+        floor = np.where(np.isfinite(floor), floor - 1e-9 * np.abs(floor), floor)
+        who, which = np.nonzero((sim >= floor[:, None]) & (sim > -np.inf))
+        if not len(who):
+            return
+        exact = np.concatenate([(rows[which[at : at + PAIRS]] * self.q[some[who[at : at + PAIRS]]]).sum(1) for at in range(0, len(who), PAIRS)])  # each row is summed alike, so equal vectors tie
+        # With what was found before: each vec_id once, with its best score, and of these the k best.
+        touched = np.unique(who)
+        before, scores = self.ids[some[touched]], self.scores[some[touched]]
+        kept = scores > -np.inf
+        who = np.r_[who, np.repeat(touched, kept.sum(1))]
+        found, score = np.r_[ids[which], before[kept]], np.r_[exact, scores[kept]]
+        order = np.lexsort((-score, found, who))
+        who, found, score = who[order], found[order], score[order]
+        once = np.r_[True, (who[1:] != who[:-1]) | (found[1:] != found[:-1])]
+        who, found, score = who[once], found[once], score[once]
+        order = np.lexsort((found, -score, who))
+        who, found, score = who[order], found[order], score[order]
+        rank = np.arange(len(who)) - np.searchsorted(who, who)
+        who, found, score, rank = (x[rank < self.k] for x in (who, found, score, rank))
+        self.ids[some[who], rank], self.scores[some[who], rank] = found, score
+
+    def found(self) -> pa.RecordBatch | None:
+        self._compare()
+        if self.q is None:
+            return None
+        at = self.scores > -np.inf
+        data = [np.repeat(self.q_ids, self.k)[at.ravel()], self.ids[at], self.scores[at]]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in data], ["query_id", "vec_id", "score"])
+
+
+def _searcher(k: int, n_parts: int):
+    """Searches each (slice, qb), by which rows are sorted, with the queries (part -1) before the rows."""
 
+    def search(batches):
+        nearest, group = None, None
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("part", "rb", "qb", "is_query", "vec_id", "v")]
-            for part, rb, qb, is_query, vec_id, v in zip(*columns, strict=True):
-                if group != (part, rb, qb):
-                    if queries and rows:
-                        out += _best(queries, rows, k)
-                    queries, rows, group = [], [], (part, rb, qb)
-                    if len(out) > 50_000:
-                        yield flushed()
-                        out.clear()
-                (queries if is_query else rows).append((vec_id, v))
-        if queries and rows:
-            out += _best(queries, rows, k)
-        if out:
-            yield flushed()
+            s, b, part, ids = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("slice", "qb", "part", "vec_id"))
+            starts = np.flatnonzero(np.r_[True, (s[1:] != s[:-1]) | (b[1:] != b[:-1]) | ((part[1:] < 0) != (part[:-1] < 0))]) if len(s) else []
+            for i, j in zip(starts, [*starts[1:], len(s)], strict=True):
+                if group != (s[i], b[i]):
+                    if nearest and (out := nearest.found()):
+                        yield out
+                    nearest, group = Nearest(k, n_parts), (s[i], b[i])
+                v = np.frombuffer(b"".join(batch.column("v").slice(i, j - i).to_pylist())).reshape(j - i, -1)
+                if part[i] < 0:
+                    nearest.ask(ids[i:j], v, batch.column("parts").slice(i, j - i).to_pylist())
+                else:
+                    nearest.offer(ids[i:j], v, part[i:j])
+        if nearest and (out := nearest.found()):
+            yield out
 
     return search
 
@@ -249,22 +295,19 @@ def search(base: DataFrame, queries: DataFrame, k: int = 20, sample: int = SAMPL
     x = np.array([r.v for r in picked if len(r.v) == dim])
     router = fit(x, min(MOST_PARTS, max(8, n // 1024)), k, target_recall)
     shared = spark.sparkContext.broadcast(router)
-    dealt = "part int, vec_id long, v binary"
-    rows = written(base.mapInArrow(_dealer(shared, 1), dealt), "vectors")
+    dealt = "parts array<int>, vec_id long, v binary"
+    rows = written(base.mapInArrow(_dealer(shared, 1), dealt).select(F.get("parts", F.lit(0)).alias("part"), "vec_id", "v"), "vectors")
     held = [0] * router.n_parts
     for r in rows.groupBy("part").agg(F.count_distinct("vec_id").alias("n")).collect():  # a row a part
         held[r.part] = r.n
-    probes = queries.mapInArrow(_dealer(shared, router.probes, held, k), dealt)
-    probes = written(probes, "probes")
-    row_blocks = rows.groupBy("part").agg(F.ceil(F.count("*") / ROWS).alias("n_rb"))
-    query_blocks = probes.groupBy("part").agg(F.ceil(F.count("*") / QUERIES).alias("n_qb"))
-    blocks = F.broadcast(row_blocks.join(query_blocks, "part"))  # MOST_PARTS rows
-    mine = lambda n: F.pmod(F.xxhash64("vec_id", F.lit(4)), F.col(n))
-    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    r = rows.join(blocks, "part").select("part", mine("n_rb").alias("rb"), each("n_qb").alias("qb"), F.lit(False).alias("is_query"), "vec_id", "v")
-    q = probes.join(blocks, "part").select("part", each("n_rb").alias("rb"), mine("n_qb").alias("qb"), F.lit(True).alias("is_query"), "vec_id", "v")
-    both = r.unionByName(q).repartition("part", "rb", "qb").sortWithinPartitions("part", "rb", "qb")
-    found = both.mapInArrow(_searcher(k), "query_id long, vec_id long, score double")
+    probes = written(queries.mapInArrow(_dealer(shared, router.probes, held, k), dealt), "probes")
+    blocks = -(-probes.count() // TOGETHER)
+    slices, each = (F.explode(F.sequence(F.lit(0), F.lit(n - 1))) for n in (SLICES, max(1, blocks)))
+    mine = lambda n, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(n)).cast("int")
+    r = rows.select(mine(SLICES, 4).alias("slice"), each.alias("qb"), "part", "vec_id", "v", F.lit(None).cast("array<int>").alias("parts"))
+    q = probes.select(slices.alias("slice"), mine(max(1, blocks), 5).alias("qb"), F.lit(-1).alias("part"), "vec_id", "v", "parts")
+    both = r.unionByName(q).repartition("slice", "qb").sortWithinPartitions("slice", "qb", "part")
+    found = both.mapInArrow(_searcher(k, router.n_parts), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

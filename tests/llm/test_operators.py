@@ -2,8 +2,10 @@
 
 import hashlib
 from pathlib import Path
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -123,6 +125,34 @@ def test_neighbours_of_few_and_odd_vectors(spark, odd, repeated):
     assert rows(neighbours.search(base, base.where("vec_id = 20")), ["query_id", "rank", "vec_id", "score"]) == [(20, 1, 1, 3.0), (20, 2, 2, 3.0)]
 
 
+def test_neighbours_deal_and_find_rows_by_queries_not_by_probed_parts():
+    rng = np.random.default_rng(1)
+    n_parts, k, n, n_queries = 64, 5, 9000, 40
+    x = np.round(rng.normal(size=(n, 8)), 1)
+    x[100:4500] = x[99]  # copies, which tie
+    part = rng.integers(0, n_parts, n)
+    ids = rng.permutation(n) + 1
+    x[-200:], ids[-200:], part[-200:] = x[:200], ids[:200], part[::-1][:200]  # vec_ids in several parts
+    probed = [rng.choice(n_parts, 48, replace=False) for _ in range(n_queries)]
+    asked = [(0, 0, -1, int(ids[i]), x[i].tobytes(), probed[i].tolist()) for i in range(n_queries)]
+    passing = sorted((0, 0, int(p), int(i), v.tobytes(), None) for p, i, v in zip(part, ids, x, strict=True))
+    types = zip(("slice", "qb", "part", "vec_id", "v", "parts"), (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int32())), strict=True)
+    table = pa.table({c: pa.array(v, t) for (c, t), v in zip(types, zip(*asked, *passing, strict=True), strict=True)})
+    found = pa.Table.from_batches(neighbours._searcher(k, n_parts)(table.to_batches(1000))).to_pandas()
+    assert len(found) == n_queries * k
+    for i in range(n_queries):
+        best = {}
+        for j in np.flatnonzero(np.isin(part, probed[i]) & (ids != ids[i])):
+            score = float((x[j] * x[i]).sum())
+            best[int(ids[j])] = max(score, best.get(int(ids[j]), score))
+        want = sorted(best.items(), key=lambda p: (-p[1], p[0]))[:k]
+        assert list(found[found.query_id == ids[i]][["vec_id", "score"]].itertuples(index=False, name=None)) == want
+    weights = [rng.normal(size=s) for s in ((8, 4), (4,), (4, n_parts), (n_parts,))]
+    shared = SimpleNamespace(value=neighbours.Router(weights, 1.0, 48))
+    base = pa.record_batch({"vec_id": pa.array(ids), "v": pa.array(list(x))})
+    assert sum(b.num_rows for b in neighbours._dealer(shared, 48)([base])) == n
+
+
 def test_neighbours_of_repeated_rows_and_few_candidates(spark):
     rng = np.random.default_rng(8)
     made = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(100)]
