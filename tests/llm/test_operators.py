@@ -1,6 +1,7 @@
 """Each numbered query against a plain version, over test tables and odd cases."""
 
 import hashlib
+import random
 from pathlib import Path
 from types import SimpleNamespace
 
@@ -97,6 +98,24 @@ def test_decontamination_in_blocks(spark, odd, docs_of):
     assert one == many
 
 
+def test_similar_lines_are_those_of_the_edit_distance_and_half_are_settled_by_words(spark):
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdeéß") for _ in range(rng.randrange(1, 9))) for _ in range(60)]
+    pairs = [("", "a"), ("a b", "a"), ("abcde", "abcdf"), ("a", "a")]
+    for _ in range(400):
+        line = [rng.choice(words) for _ in range(rng.randrange(1, 40))]
+        other = list(line)
+        for _ in range(rng.randrange(0, 8)):
+            at = rng.randrange(len(other)) if other else 0
+            other[at : at + 1] = rng.choice([[rng.choice(words)], [rng.choice(words)], [], [rng.choice(words), *other[at : at + 1]]])
+        pairs.append((" ".join(line), " ".join(other)))
+    a, b = F.col("a"), F.col("b")
+    longer = F.greatest(F.length("a"), F.length("b"))
+    got = spark.createDataFrame(pairs, "a string, b string").select("a", "b", F.levenshtein(a, b).alias("d"), longer.alias("n"), lines._edits_by_words(a, b).alias("most"), lines.similar(a, b).alias("similar")).collect()
+    assert all(r.most >= r.d and r.similar == (10 * r.d <= 2 * r.n) for r in got)
+    assert sum(r.most <= 0.2 * r.n for r in got) > 0.5 * sum(r.similar for r in got) > 50
+
+
 def test_neighbours_find_nine_tenths(spark):
     sf = "/root/testdata/sf0.1"
     t = pq.read_table(f"{sf}/embeddings.parquet")
