@@ -116,6 +116,28 @@ def test_similar_lines_are_those_of_the_edit_distance_and_half_are_settled_by_wo
     assert sum(r.most <= 0.2 * r.n for r in got) > 0.5 * sum(r.similar for r in got) > 50
 
 
+def test_similar_lines_with_words_put_in_and_left_out_are_settled_between_anchors(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdeéß𝔞") for _ in range(rng.randrange(3, 9)))
+    pairs = [("", "a"), ("a", ""), ("a" * 200, "a" * 190), ("ab" * 100, "ba" * 100), ("x" * 500, "y" * 500)]
+    for i in range(300):
+        line = [word() for _ in range(rng.randrange(1, 120))]
+        other = list(line)
+        for _ in range(len(line) // 12 + 2):
+            at = rng.randrange(len(other)) if other else 0
+            other[at : at + 1] = rng.choice([[], [word(), *other[at : at + 1]], [word()]])
+        pairs.append((" ".join(line), " ".join(other if i % 5 else [word() for _ in line])))
+    a, b = F.col("a"), F.col("b")
+    longer = F.greatest(F.length("a"), F.length("b"))
+    most = F.floor(longer * 0.2 + 1e-9).cast("int")
+    settled = lines._edits_by_anchors(a, b, most), lines._edits_by_words(a, b), lines.similar(a, b)
+    got = spark.createDataFrame(pairs, "a string, b string").select(F.levenshtein(a, b).alias("d"), most.alias("most"), *(c.alias(n) for n, c in zip(("anchors", "words", "similar"), settled, strict=True))).collect()
+    assert all(r.anchors >= min(r.d, r.most + 1) and r.similar == (r.d <= r.most) for r in got)
+    left = [r for r in got if r.similar and r.words > r.most]
+    print("lines that words don't settle:", len(left), "between anchors", sum(r.anchors <= r.most for r in left))
+    assert sum(r.anchors <= r.most for r in left) > 0.7 * len(left) > 50
+
+
 def test_neighbours_find_nine_tenths(spark):
     sf = "/root/testdata/sf0.1"
     t = pq.read_table(f"{sf}/embeddings.parquet")
