@@ -259,6 +259,21 @@ def test_line_dedup_keeps_no_texts_of_lines_that_meet_nothing(spark, monkeypatch
     assert held and all(h == (0, 3) for h in held)
 
 
+def test_line_dedup_tests_no_pair_twice(spark, monkeypatch):
+    tested, similar = [], lines._similar
+
+    def seen(pairs, texts):
+        tested.append({(bytes(r.a), bytes(r.b)) for r in pairs.collect()})
+        return similar(pairs, texts)
+
+    monkeypatch.setattr(lines, "_similar", seen)
+    texts = [f"common passage everywhere {c * 12} {chr(ord(c) + 1) * 9} {c * 7}" for c in "abcdefghijkl"]
+    texts += ["common passage everywhere \t and then\x0b the  same words again", "Common passage everywhere and then the same words again!"]
+    got = rows(lines.dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")), ["doc_id", "n_removed"])
+    assert dict(got) == {i: int(i == 13) for i in range(14)}
+    assert len(tested) == 2 and all(tested) and not tested[0] & tested[1]
+
+
 def planted_lines():
     """Lines, and variants of them with a word replaced, left out, put in or marked."""
     rng = np.random.default_rng(5)
