@@ -302,6 +302,40 @@ def test_line_dedup_links_nine_tenths_of_similar_lines_and_no_others(spark, docs
     assert share >= 0.9
 
 
+def spread_changes():
+    """Pairs of similar lines of 2 to 150 words, of which a tenth, evenly spread, and one at least, is changed by a letter,
+    replaced, left out, or has a word before it."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnoprstuvwz") for _ in range(rng.randrange(5, 12)))
+    pairs = []
+    for i in range(120):
+        n = [2, 3, 4, 5, 7, 9, 12, 15, 20, 30, 50, 80, 110, 150][i % 14]
+        line, other = [word() for _ in range(n)], []
+        at = {n * (2 * j + 1) // (2 * max(1, n // 10)) for j in range(max(1, n // 10))}
+        for j, w in enumerate(line):
+            other += [w] if j not in at else [w[:-1] + "x"] if n < 6 or i % 4 == 0 else [[word()], [], [word(), w]][i % 3]
+        pairs.append((" ".join(line), " ".join(other)))
+    return [(a, b) for a, b in pairs if brute.edits(a, b) <= 0.2 * max(len(a), len(b))]
+
+
+def test_line_dedup_links_all_similar_lines_of_which_a_tenth_of_the_words_is_changed(spark, line_links):
+    pairs = spread_changes()
+    docs = spark.createDataFrame(list(enumerate(x for p in pairs for x in p)), "doc_id long, text string")
+    found = {frozenset(p) for p in line_links(docs)}
+    assert len(pairs) > 100 and found == {frozenset(p) for p in pairs}
+
+
+def test_keys_of_lines_are_the_first_runs_by_one_order(spark):
+    words = [[f"{'w' * (i % 9)}{i}x{j}" for i in range(n)] for j, n in enumerate((1, 2, 5, 8, 15, 16, 40, 200))]
+    keys = [set(r.keys) for r in spark.createDataFrame([(w,) for w in words], "words array<string>").select(lines._run_keys(F.col("words")).alias("keys")).collect()]
+    assert [len(k) for k in keys] == [1, 3, 5, 6, 13, 6, 13, 61]
+    runs = [(words[-1][i : i + 3],) for i in range(198)]
+    each = [r.keys[0] for r in spark.createDataFrame(runs, "words array<string>").select(lines._run_keys(F.col("words")).alias("keys")).collect()]
+    letters = lambda i: min(30, sum(map(len, words[-1][i : i + 3])))
+    chosen = [letters(i) for i in range(198) if each[i] in keys[-1]]
+    assert len(chosen) == 61 and min(chosen) >= max(letters(i) for i in range(198) if each[i] not in keys[-1])
+
+
 @pytest.mark.parametrize("size", [2, 5])
 @pytest.mark.parametrize("where", ["sf", "odd"])
 def test_near_duplicates(spark, odd, docs_of, where, size):
